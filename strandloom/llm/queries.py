@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, simhash
+from . import bpe, decontaminate, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_bpe": bpe.op2_bpe,
+    "op3_topk": topk.op3_topk,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_simhash": simhash.op8_simhash,
 }
 #: DuckDB SQL for the queries that SQL can express within reason.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.OP3_SQL}
