@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, sharding, simhash, topk, toxicity
+from . import bpe, decontaminate, lm, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_simhash": simhash.op8_simhash,
+    "op10_lm": lm.op10_lm,
 }
 #: DuckDB SQL for the queries that SQL can express within reason.
 ORACLE_SQL: dict[str, str] = {"op3_topk": topk.OP3_SQL}
