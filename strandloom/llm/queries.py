@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lm, sharding, simhash, topk, toxicity
+from . import bpe, debruijn, decontaminate, lm, sharding, simhash, suffix, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_bpe": bpe.op2_bpe,
     "op3_topk": topk.op3_topk,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_debruijn": debruijn.op6_debruijn,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_simhash": simhash.op8_simhash,
+    "op9_suffix": suffix.op9_suffix,
     "op10_lm": lm.op10_lm,
 }
 #: DuckDB SQL for the queries that SQL can express within reason.
