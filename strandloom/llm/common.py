@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: tables, row keys, scratch tables, connected components.
 
-Rows are keyed by `rid`, a 64-bit hash of doc_id and text. It is the same whenever and wherever a row is read again, so
-a lost executor changes nothing, and rows that repeat both doc_id and text share one key and one result.
+A row's key is its doc_id where doc_ids are unique; it is the same whenever the row is read again, so that a lost executor
+changes nothing. Where they are not, the rows are numbered once and written.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset, as in tests.
@@ -56,12 +56,22 @@ def drop_written(df: DataFrame) -> None:
             _remove(df.sparkSession, f)
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, rid and text (null: empty) of each row; columns of other names are left out."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), text.alias("text"), *more
-    )
+def ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and key: a long of its own for every row, in the order of doc_id (nulls first) and, where
+    rows share a doc_id, of the text's hash. Where doc_ids are unique, as they should be, they are the keys."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("key", F.col("doc_id"))
+    tie = F.xxhash64("text")
+    pieces = written(docs.repartitionByRange(F.asc_nulls_first("doc_id"), tie).withColumn("piece", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("piece").orderBy(F.asc_nulls_first("doc_id"), tie))
+    return written(pieces.withColumn("key", F.shiftleft(F.col("piece").cast("long"), 40) + place).drop("piece"))
+
+
+def pieces(batch, rows: int = 512):
+    """An Arrow batch in pieces of a few rows, so that a task holds few texts as Python strings at once."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
 
 def crc_mod(doc_id: str, n: int):

@@ -9,8 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
-from .paths import covered_units, ordered, repeated
+from .common import ordered, pieces, table
+from .paths import covered_units, repeated
 
 #: Words of an edge, and of the seeds that bring edges together.
 EDGE_WORDS, SEED_WORDS = 20, 6
@@ -44,7 +44,7 @@ def without_repeats(docs: DataFrame, edge: int = EDGE_WORDS, with_text: bool = F
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             rows = []
             for i, text, found in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist()):
                 words = text.encode().split()

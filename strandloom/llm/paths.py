@@ -11,10 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import pieces, written
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
@@ -101,18 +101,6 @@ _PACKED = "range long, records binary, done binary"
 _SPANS = "key long, open boolean, spans binary"
 
 
-def ordered(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and key: a long of its own for every row, in the order of doc_id (nulls first) and, where
-    rows share a doc_id, of the text's hash. Where doc_ids are unique, as they should be, they are the keys."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn("key", F.col("doc_id"))
-    tie = F.xxhash64("text")
-    pieces = written(docs.repartitionByRange(F.asc_nulls_first("doc_id"), tie).withColumn("piece", F.spark_partition_id()))
-    place = F.row_number().over(Window.partitionBy("piece").orderBy(F.asc_nulls_first("doc_id"), tie))
-    return written(pieces.withColumn("key", F.shiftleft(F.col("piece").cast("long"), 40) + place).drop("piece"))
-
-
 def repeated(docs: DataFrame, units_of, width: int, seed: int, first_stays: bool) -> DataFrame:
     """key and spans of every text (key, text) that holds windows which occur more than once: with first_stays all but the
     first of each (smallest key, then earliest), else all of them. spans: a list of packed runs of such windows.
@@ -132,7 +120,7 @@ def repeated(docs: DataFrame, units_of, width: int, seed: int, first_stays: bool
 
     def pack_paths(batches):
         parts, size = [], 0
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                 s, p, first, count = paths(units_of(text), width, seed)
                 if len(s):
@@ -155,7 +143,7 @@ def repeated(docs: DataFrame, units_of, width: int, seed: int, first_stays: bool
 
     def pack_windows(batches):
         parts, size = [], 0
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             for key, text, runs in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
                 units = units_of(text)
                 runs = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in runs])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, debruijn, decontaminate, lm, sharding, simhash, suffix, topk, toxicity
+from . import bpe, debruijn, decontaminate, lines, lm, sharding, simhash, suffix, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_bpe": bpe.op2_bpe,
     "op3_topk": topk.op3_topk,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_lines": lines.op5_lines,
     "op6_debruijn": debruijn.op6_debruijn,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_simhash": simhash.op8_simhash,

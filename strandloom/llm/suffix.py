@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
-from .paths import covered_units, mixed, ordered, repeated
+from .common import ordered, pieces, table
+from .paths import covered_units, mixed, repeated
 
 THRESHOLD = 200
 _UNIT = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -36,7 +36,7 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             rows = []
             for i, text, found in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist()):
                 kept = raw = text.encode()
