@@ -56,10 +56,11 @@ def drop_written(df: DataFrame) -> None:
             _remove(df.sparkSession, f)
 
 
-def ordered(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and key: a long of its own for every row, in the order of doc_id (nulls first) and, where
+def ordered(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """doc_id, text (null: empty), with rest a struct of all columns as they were, and key: a long of its own for every row, in the order of doc_id (nulls first) and, where
     rows share a doc_id, of the text's hash. Where doc_ids are unique, as they should be, they are the keys."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    docs = docs.select(*own, *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest")] * rest))
     if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.withColumn("key", F.col("doc_id"))
     tie = F.xxhash64("text")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, ordered, table, written
 
 _STEP = 4096  # shingles whose bits are counted at a time
 
@@ -61,18 +61,28 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of those linked, directly or through others) of every row.
+    """key, doc_id, fp, component_id (the smallest doc_id of those linked, directly or through others) and stays (this is
+    the first row of its component) of every row.
 
     Equal fingerprints are one class and links join classes, so that copies are never paired. A null text counts as
-    empty; texts without words share the fingerprint 0. Rows that repeat a doc_id stay rows; a component without any doc_id
-    but nulls has a null component_id.
+    empty; texts without words share the fingerprint 0. Rows that repeat a doc_id stay rows, the first of them by their text's
+    hash; a component without any doc_id but nulls has a null component_id.
     """
-    rows = written(fingerprints(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), width))
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    rows = written(fingerprints(ordered(docs).select("key", "doc_id", "text"), width))
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("first_key")))
     roots = components(links(classes.select("fp"), distance))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp")
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.min("first_key").alias("first_key"))
+    found = rows.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id", "first_key"), "fp")
+    return found.select("key", "doc_id", "fp", "component_id", (F.col("key") == F.col("first_key")).alias("stays"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
+    """The first row, unchanged, of every component of near-duplicates."""
+    columns = docs.columns
+    docs = ordered(docs, rest=True)
+    go = written(near_duplicates(docs.select("key", "doc_id", "text"), width, distance).where("not stays").select("key"))
+    return docs.join(go, "key", "left_anti").select(*(F.col(f"rest.`{c}`") for c in columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
