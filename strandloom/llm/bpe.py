@@ -7,6 +7,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 #: Characters of text whose words are replayed together, and words that a task remembers from block to block.
-BLOCK_CHARS, KEPT_WORDS = 6_000_000, 250_000
+BLOCK_CHARS, KEPT_WORDS = 6_000_000, 400_000
 _LOADED: dict[tuple[str, str], MergeReplay] = {}
 
 
@@ -33,90 +34,85 @@ class MergeReplay:
                 left, right = self.rank.get(whole[:i]), self.rank.get(whole[i:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = r
+        self.byte_or_end = np.array(self.byte, np.int64)
+        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(self.pairs.values(), np.int64, len(keys))[order]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word.
 
         All words lie in one row of positions, linked to their neighbours within the word. An index has the positions
         of each mergeable pair by the pair's rank. Ranks are replayed in rising order from a heap; a merge touches its two
-        neighbours only, whose new pairs join the index. A word in which a merge makes a pair of a lower rank than the
-        one at hand (no trained vocabulary is known to need it) is encoded anew by itself, lowest pair first.
+        neighbours only, whose new pairs join the index. All positions of a rank merge as one array. A word in which a merge makes a pair of a lower rank than the one at hand (no trained
+        vocabulary is known to need it) is encoded anew by itself, lowest pair first.
         """
-        rank_of, byte = self.pairs.get, self.byte
-        token: list[int] = [0]
-        starts = []
-        for w in words:
-            starts.append(len(token))
-            token += [byte[c] for c in w]
-            token.append(-1)  # ends the word
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        found = [-1] * n  # rank of the pair that begins at each position
-        index: dict[int, list[int]] = {}
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1] + 1
+        token = self.byte_or_end[np.frombuffer(b"".join([b"\0", *(w + b"\0" for w in words)]), np.uint8)]
         token[0] = -1
-        left = -1
-        for p in range(1, n):
-            right = token[p]
-            if left >= 0 and right >= 0 and (r := rank_of(left << 32 | right)) is not None:
-                found[p - 1] = r
-                if r in index:
-                    index[r].append(p - 1)
-                else:
-                    index[r] = [p - 1]
-            left = right
+        token[starts + sizes] = -1
+        n = len(token)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        found = np.append(self.ranks_of(token[:-1], token[1:]), -1)
+        index: dict[int, list[np.ndarray]] = {}
+        self._enter(index, found, np.flatnonzero(found >= 0))
         heap = list(index)
         heapq.heapify(heap)
-        odd: set[int] = set()
+        odd: list[np.ndarray] = []
         while heap:
             r = heapq.heappop(heap)
-            for p in sorted(index.pop(r)):
-                if found[p] != r:
-                    continue
-                q = after[p]
-                token[p], found[q], found[p] = r, -1, -1
-                after[p] = n2 = after[q]
-                token[q] = -2
-                before[n2] = p
-                right = token[n2]
-                if right >= 0 and (new := rank_of(r << 32 | right)) is not None:
-                    found[p] = new
-                    if new in index:
-                        index[new].append(p)
-                    else:
-                        index[new] = [p]
-                        heapq.heappush(heap, new)
-                    if new < r:
-                        odd.add(p)
-                p0 = before[p]
-                left = token[p0]
-                if left >= 0:
-                    new = rank_of(left << 32 | r)
-                    if new is None:
-                        found[p0] = -1
-                    else:
-                        found[p0] = new
-                        if new in index:
-                            index[new].append(p0)
-                        else:
-                            index[new] = [p0]
-                            heapq.heappush(heap, new)
-                        if new < r:
-                            odd.add(p0)
-        out = []
-        odd_at = sorted(odd)
-        k = 0
-        for s, w in zip(starts, words):
-            while k < len(odd_at) and odd_at[k] < s:
-                k += 1
-            if k < len(odd_at) and odd_at[k] < s + len(w):
-                out.append(self.encode_alone(w))
+            p = np.unique(np.concatenate(index.pop(r)))
+            p = p[found[p] == r]
+            q = after[p]
+            if (found[q] == r).any():  # pairs that overlap: leftmost first
+                taken, stay = set(), []
+                for i, j in zip(p.tolist(), q.tolist()):
+                    stay.append(i not in taken)
+                    if stay[-1]:
+                        taken.add(j)
+                p, q = p[stay], q[stay]
+            if not len(p):
                 continue
-            ids, p = [], s
-            while token[p] >= 0:
-                ids.append(token[p])
-                p = after[p]
-            out.append(ids)
-        return out
+            right = after[q]
+            token[p], token[q], found[q], after[p], before[right] = r, -2, -1, right, p
+            left = before[p]
+            found[p], found[left] = self.ranks_of(token[p], token[right]), self.ranks_of(token[left], token[p])
+            touched = np.concatenate([p, left])
+            touched = touched[found[touched] >= 0]
+            odd.append(touched[found[touched] < r])
+            for new in self._enter(index, found, touched):
+                heapq.heappush(heap, new)
+        left = token[token != -2]
+        ends = np.flatnonzero(left == -1)
+        left = left.tolist()
+        ids = [left[a + 1 : b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        for i in np.unique(np.searchsorted(starts, np.concatenate(odd), "right") - 1).tolist() if odd else ():
+            ids[i] = self.encode_alone(words[i])
+        return ids
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; -1 where there is none."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
+
+    @staticmethod
+    def _enter(index: dict[int, list], found: np.ndarray, at: np.ndarray) -> list[int]:
+        """Adds positions to the index; returns the ranks that are new to it."""
+        if not len(at):
+            return []
+        at = at[np.argsort(found[at], kind="stable")]
+        ranks = found[at]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        fresh = []
+        for r, group in zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
+            if r in index:
+                index[r].append(group)
+            else:
+                index[r] = [group]
+                fresh.append(r)
+        return fresh
 
     def encode_alone(self, word: bytes) -> list[int]:
         """One word by the definition: its lowest-ranked pair first, the leftmost of equals."""
