@@ -1,6 +1,289 @@
-"""Every query of the engine and its SQL, by name."""
+"""Every query of the engine and its SQL, by name. All run over whole tables.
+
+Documents play the part of DNA (sources.reads.from_documents). For graph operators, whose input SQL can hardly make, orders and
+their lines play the part of contigs: orders_as_contigs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dna
+from ..operators import coverage, graph, junctions, kmers, pairs, sketch
+from ..sources import reads as source
+from ..sources import sinks
+from . import oracle
+from .assemble import assemble
+from .config import Config
+from .scratch import written
+
+K, J, READ = 21, 1, 100
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.from_documents(_table(spark, sf_dir, "documents"))
+
+
+def reads_with_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.from_documents(_table(spark, sf_dir, "documents"), breaks=True)
+
+
+def fragments(spark, sf_dir):
+    return kmers.fragments(reads_with_breaks(spark, sf_dir), K)
+
+
+def _frags(spark, sf_dir):
+    return kmers.fragments(reads(spark, sf_dir), K)
+
+
+def _counts(spark, sf_dir):
+    return kmers.kmer_counts(_frags(spark, sf_dir), K)
+
+
+def kmer_count(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+def solid_kmers(spark, sf_dir):
+    return kmers.solid(_counts(spark, sf_dir))
+
+
+def kmer_spectrum(spark, sf_dir):
+    return kmers.spectrum(_counts(spark, sf_dir))
+
+
+def kmer_strings(spark, sf_dir):
+    """K-mers of all kinds of one another: text, reverse complement, ends and neighbours of every distinct one."""
+    c = _counts(spark, sf_dir)
+    return c.select(
+        "canon", dna.decode("canon", K).alias("kmer"), dna.decode(dna.revcomp("canon", K), K).alias("turned"), dna.last_code("canon").alias("last_code"),
+        dna.code_at("canon", 0, K).alias("first_code"), dna.append("canon", F.lit(3), K).alias("appended"), dna.prepend("canon", F.lit(1), K).alias("prepended"),
+        dna.is_homopolymer(dna.decode("canon", K)).alias("homopolymer"),
+    )
+
+
+def mercy_kmers(spark, sf_dir):
+    frags = _frags(spark, sf_dir)
+    return kmers.mercy_kmers(frags, written(kmers.kmer_counts(frags, K)), K)
+
+
+def kmer_extensions(spark, sf_dir):
+    both = kmers.oriented(solid_kmers(spark, sf_dir), K)
+    return kmers.with_extensions(both, kmers.extension_masks(both, K), K).select("kmer", F.bit_count("mask").alias("n_ext"), F.col("mask").cast("int").alias("mask"))
+
+
+def _jchecked(spark, sf_dir, j):
+    return kmers.jchecked(written(kmers.oriented(solid_kmers(spark, sf_dir), K)), K, j)
+
+
+def jcheck_1(spark, sf_dir):
+    return _jchecked(spark, sf_dir, 1)
+
+
+def jcheck_2(spark, sf_dir):
+    return _jchecked(spark, sf_dir, 2)
+
+
+def valid_extensions(spark, sf_dir):
+    """The one valid extension of each oriented k-mer: -1 for none, -2 for several."""
+    both = written(kmers.oriented(solid_kmers(spark, sf_dir), K))
+    masks = kmers.extension_masks(kmers.jchecked(both, K, J), K)
+    n = F.bit_count("mask")
+    return kmers.with_extensions(both, masks, K).select("kmer", F.when(n == 0, -1).when(n > 1, -2).otherwise(F.expr("cast(log2(greatest(mask, 1)) as int)")).alias("extension"))
+
+
+def _valid(spark, sf_dir):
+    frags = kmers.fragments(reads(spark, sf_dir), K, 2 * J + 1)
+    return kmers.valid_fragments(frags, solid_kmers(spark, sf_dir), K)
+
+
+def valid_fragments(spark, sf_dir):
+    return _valid(spark, sf_dir)
+
+
+def _met(spark, sf_dir):
+    valid = written(_valid(spark, sf_dir))
+    all_sites = junctions.sites(valid, K, J)
+    keys = junctions.junction_keys(all_sites, written(kmers.oriented(solid_kmers(spark, sf_dir), K)), K, J)
+    return valid, junctions.junction_sites(all_sites, keys)
+
+
+def junction_keys(spark, sf_dir):
+    return _met(spark, sf_dir)[1].select("kmer").distinct()
+
+
+def junction_coverage(spark, sf_dir):
+    cov = junctions.coverage(_met(spark, sf_dir)[1])
+    return cov.select("kmer", *(F.col("cov")[i].alias(f"cov_{b.lower()}") for i, b in enumerate(dna.BASES)), junctions.paths_out("cov").alias("paths_out"))
+
+
+def junction_links(spark, sf_dir):
+    ways = junctions.neighbours(_met(spark, sf_dir)[1], J)
+    return ways.groupBy("kmer", "index").agg(F.max("dist").cast("int").alias("dist"), F.bool_or("linked").alias("linked"))
+
+
+def junction_table(spark, sf_dir):
+    return sinks.junction_lines(junctions.junctions(_met(spark, sf_dir)[1], J), K)
+
+
+def fake_junctions(spark, sf_dir):
+    valid, met = _met(spark, sf_dir)
+    return junctions.fake_junctions(valid, met, K, J)
+
+
+def solidity_histogram(spark, sf_dir):
+    return junctions.solidity_histogram(junctions.coverage(_met(spark, sf_dir)[1]))
+
+
+def _found(spark, sf_dir):
+    valid, met = _met(spark, sf_dir)
+    met = written(met)
+    return pairs.results(met, junctions.fake_junctions(valid, met, K, J), K)
+
+
+def short_pairs(spark, sf_dir):
+    return pairs.short_pairs(_found(spark, sf_dir), K)
+
+
+def long_pairs(spark, sf_dir):
+    return pairs.long_pairs(_found(spark, sf_dir), reads(spark, sf_dir), K)
+
+
+def scan_summary(spark, sf_dir):
+    """One row: reads, fragments that are long enough, valid ones, sites looked at, junction sites, valid ones without a junction."""
+    r = reads(spark, sf_dir)
+    valid, met = _met(spark, sf_dir)
+    met = written(met)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    out = one(r, "reads")
+    for df, name in (
+        (kmers.fragments(r, K, 2 * J + 1), "fragments"), (valid, "valid"), (junctions.sites(valid, K, J), "sites"), (met, "junction_sites"), (junctions.fake_junctions(valid, met, K, J), "without"),
+    ):
+        out = out.crossJoin(one(df, name))  # one row each
+    return out
+
+
+def unitigs(spark, sf_dir):
+    """The contig graph of all documents' reads; SQL would take a step for each base of the longest contig."""
+    c = graph.contig_graph(_counts(spark, sf_dir), K)
+    return c.select("contig_id", "n1", "ind1", "n2", "ind2", F.length("seq").alias("length"), F.md5("seq").alias("seq_md5"), coverage.mean("coverages").alias("cov"), "circular")
+
+
+def cleaned_contigs(spark, sf_dir):
+    """The graph after cleaning, by length and coverage."""
+    a = assemble(reads(spark, sf_dir), Config(k=K, j=J, read_length=READ))
+    return a.contigs.select("contig_id", "n1", "n2", F.length("seq").alias("length"), coverage.mean("coverages").alias("cov"))
+
+
+# --- orders as contigs ----------------------------------------------------------------------------------------------------------
+
+
+def orders_as_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contig for each order, from its customer to the one of number 1 + 3 custkey mod 499; of a customer's ends the first five, by order
+    and side, have index 4, 0, 1, 2 and 3, and the others are sinks. Coverages are the quantities of the order's lines."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    ends = orders.select("o_orderkey", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("o_custkey").cast("long").alias("node")), F.struct(F.lit(2).alias("side"), (1 + F.col("o_custkey") * 3 % 499).cast("long").alias("node")))))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("o_orderkey", "side"))
+    ends = ends.withColumn("r", rank).where("r <= 5").select("o_orderkey", "side", "node", F.when(F.col("r") == 1, 4).otherwise(F.col("r") - 2).alias("ind"))
+    side = lambda s: ends.where(F.col("side") == s).select("o_orderkey", F.col("node").alias(f"n{s}"), F.col("ind").cast("int").alias(f"ind{s}"))
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("q"))
+    lines = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.transform("q", lambda x: x["q"]).alias("coverages"))
+    length = (50 + F.col("o_orderkey") % 150).cast("int")
+    seq = F.substring(F.repeat(F.lit("ACTG"), 50), F.lit(1), length)
+    joined = orders.join(lines, "o_orderkey").join(side(1), "o_orderkey", "left").join(side(2), "o_orderkey", "left")
+    return joined.select(F.col("o_orderkey").cast("long").alias("contig_id"), "n1", "ind1", "n2", "ind2", seq.alias("seq"), F.transform(F.slice("coverages", 2, F.size("coverages")), lambda c: F.lit(2)).alias("distances"), "coverages", F.lit(False).alias("circular"))
+
+
+def contig_incidence(spark, sf_dir):
+    return graph.with_outs(graph.incidence(orders_as_contigs(spark, sf_dir))).withColumn("cov", F.round("cov", 6))
+
+
+def tips(spark, sf_dir):
+    return graph.tips(orders_as_contigs(spark, sf_dir), READ)
+
+
+def bubbles(spark, sf_dir):
+    return graph.bubbles(orders_as_contigs(spark, sf_dir)).withColumns({"low_cov": F.round("low_cov", 6), "high_cov": F.round("high_cov", 6)})
+
+
+def chimeras(spark, sf_dir):
+    return graph.chimeras(orders_as_contigs(spark, sf_dir), ratio=1.2).withColumns({"ratio1": F.round("ratio1", 6), "ratio2": F.round("ratio2", 6)})
+
+
+def collapsible_nodes(spark, sf_dir):
+    return graph.collapsible(orders_as_contigs(spark, sf_dir))
+
+
+def inverted_repeats(spark, sf_dir):
+    return graph.inverted_repeats(orders_as_contigs(spark, sf_dir))
+
+
+def degenerate_nodes(spark, sf_dir):
+    return graph.degenerate(orders_as_contigs(spark, sf_dir))
+
+
+def isolated_contigs(spark, sf_dir):
+    return graph.isolated(orders_as_contigs(spark, sf_dir)).select("contig_id", F.length("seq").alias("length"))
+
+
+def longest_contig(spark, sf_dir):
+    return graph.longest(orders_as_contigs(spark, sf_dir)).select("contig_id", F.length("seq").alias("length"))
+
+
+def contig_coverage_stats(spark, sf_dir):
+    c = orders_as_contigs(spark, sf_dir)
+    return c.select(
+        "contig_id", F.round(coverage.mean("coverages"), 6).alias("mean"), F.round(coverage.deviation("coverages"), 6).alias("deviation"), F.round(coverage.mass("coverages", F.length("seq")), 4).alias("mass"),
+        F.aggregate("distances", F.lit(0), lambda s, d: s + d).alias("distance"), F.array_join(F.transform(coverage.shifted("coverages", F.lit(230.5)), lambda x: x.cast("string")), " ").alias("shifted"),
+        F.array_join(F.transform(coverage.scaled("coverages", F.lit(0.25)), lambda x: x.cast("string")), " ").alias("scaled"),
+    )
+
+
+def _neighbours(spark, sf_dir):
+    """Each contig with the next one, by id, of its first node."""
+    c = orders_as_contigs(spark, sf_dir).where("n1 is not null").select("n1", "contig_id", "coverages")
+    order = Window.partitionBy("n1").orderBy("contig_id")
+    return c.select(F.col("contig_id").alias("a"), F.lead("contig_id").over(order).alias("b"), F.col("coverages").alias("ca"), F.lead("coverages").over(order).alias("cb")).where("b is not null")
+
+
+def coverage_equivalence(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("a", "b", coverage.equivalent(F.col("ca"), F.col("cb"), 0.9).alias("equivalent"))
+
+
+def coverage_difference(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("a", "b", coverage.different(F.col("ca"), F.col("cb")).alias("different"))
+
+
+def bloom_hashes(spark, sf_dir):
+    """Two hashes of each order's key, modulo 2^40."""
+    keys = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("key"))
+    return keys.select("key", sketch.hash_column("key", 0, 1 << 40).alias("h0"), sketch.hash_column("key", 1, 1 << 40).alias("h1"))
+
+
+def bloom_members(spark, sf_dir):
+    """Which k-mers of all pass a filter of the solid ones: never fewer than those."""
+    counts = written(_counts(spark, sf_dir))
+    solid = kmers.solid(counts)
+    bits, n = sketch.optimal(max(solid.count(), 1), 0.04)
+    members = sketch.contains(counts, "canon", sketch.build(solid, "canon", bits, n), bits, n)
+    return members.agg(F.count("*").alias("members"), F.count_if(F.col("cnt") >= 2).alias("solid"))
+
+
+def fastg_headers(spark, sf_dir):
+    return sinks.fastg_lines(orders_as_contigs(spark, sf_dir)).select(F.split("value", "\n")[0].alias("header"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        reads, fragments, kmer_count, solid_kmers, kmer_spectrum, kmer_strings, mercy_kmers, kmer_extensions, jcheck_1, jcheck_2, valid_extensions, valid_fragments, junction_keys, junction_coverage,
+        junction_links, junction_table, fake_junctions, solidity_histogram, short_pairs, long_pairs, scan_summary, unitigs, cleaned_contigs, contig_incidence, tips, bubbles, chimeras,
+        collapsible_nodes, inverted_repeats, degenerate_nodes, isolated_contigs, longest_contig, contig_coverage_stats, coverage_equivalence, coverage_difference, bloom_hashes, bloom_members, fastg_headers,
+    )
+}
+ORACLE_SQL = oracle.sql(K, J, READ)
