@@ -25,7 +25,7 @@ IDENTITY_TERMS = (
     ("old", "young", "elderly", "disabled", "blind", "deaf"),
 )
 #: Rows of each label that fit() takes at most, and the most features it keeps.
-MAX_ROWS_OF_A_LABEL, MAX_FEATURES, LEAST_CHI2, PREFIXES = 3000, 8192, 12.0, (4, 5)
+MAX_ROWS_OF_A_LABEL, MAX_FEATURES, LEAST_CHI2, PREFIXES = 2000, 8192, 12.0, (4, 5)
 THRESHOLD = 0.7
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -124,8 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_OF_A_LABEL,
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("label_text"))
     words = F.array_distinct(F.split(F.lower(F.coalesce("label_text", F.lit(""))), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"))
     found = texts.join(F.broadcast(ids), "label_id").select("label_id", "label_toxic", F.xxhash64("label_text").alias("h"), words.alias("words"))
-    rows = sorted(found.toLocalIterator(), key=lambda r: (r.label_id, r.h))
-    return fit_sets([words_of(" ".join(r.words)) for r in rows], [r.label_toxic for r in rows], penalty)
+    one: dict[bytes, bytes] = {}  # each word's bytes once, however many rows hold it
+    rows = [(r.label_id, r.h, r.label_toxic, {one.setdefault(w, w) for w in words_of(" ".join(r.words))}) for r in found.toLocalIterator()]
+    rows.sort(key=lambda r: r[:3])
+    return fit_sets([r[3] for r in rows], [r[2] for r in rows], penalty)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
