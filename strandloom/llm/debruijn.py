@@ -14,17 +14,23 @@ from .paths import covered_units, repeated
 
 #: Words of an edge, and of the seeds that bring edges together.
 EDGE_WORDS, SEED_WORDS = 20, 6
-_KNOWN: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
 
 
 def word_units(text: str) -> np.ndarray:
     """A hash of each word; words are kept apart by ASCII white space alone."""
     words = text.encode().split()
-    if len(_KNOWN) > 200_000:
-        _KNOWN.clear()
-    for w in set(words) - _KNOWN.keys():
-        _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def without_repeats(docs: DataFrame, edge: int = EDGE_WORDS, with_text: bool = False) -> DataFrame:

@@ -94,7 +94,7 @@ def paths(units: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, ...]:
 # --- the same work over all texts -------------------------------------------------------------------------------------
 
 #: Bytes of input for which one range of hashes is made, paths or windows that a task gathers before it packs them.
-RANGE_BYTES, BLOCK_RECORDS = 4_000_000, 500_000
+RANGE_BYTES, BLOCK_RECORDS = 4_000_000, 150_000
 _RECORD = [("seed", np.uint64), ("name", np.uint64), ("key", np.int64), ("start", np.int32), ("n", np.int32), ("flag", np.uint8)]
 _PACKED = "range long, records binary, done binary"
 #: key of a text; its runs of windows, as pairs of 4-byte numbers (first window, windows); whether they are only to be opened.
