@@ -31,7 +31,7 @@ def code(base) -> Column:
 
 
 def base_of(code_) -> Column:
-    return F.element_at(F.array(*map(F.lit, BASES)), _col(code_) + 1)
+    return F.when(_col(code_).isNotNull(), F.element_at(F.array(*map(F.lit, BASES)), _col(code_) + 1))
 
 
 def complement(code_) -> Column:

@@ -152,7 +152,7 @@ def longest(contigs: DataFrame) -> DataFrame:
 
 def violations(contigs: DataFrame, k: int) -> DataFrame:
     """contig_id and problem: what a valid graph has none of."""
-    twice = incidence(contigs).groupBy("node", "ind").agg(F.count("*").alias("n"), F.min("contig_id").alias("contig_id")).where("n > 1")
+    twice = incidence(contigs).groupBy("node", "ind").agg(F.count_distinct("contig_id").alias("n"), F.min("contig_id").alias("contig_id")).where("n > 1")
     end1 = F.when(F.col("ind1") == BACK, dna.encode(dna.revcomp_seq(F.substring("seq", 1, k)))).otherwise(dna.encode(F.substring("seq", 1, k)))
     tail_ = F.expr(f"right(seq, {k})")
     end2 = F.when(F.col("ind2") == BACK, dna.encode(tail_)).otherwise(dna.encode(dna.revcomp_seq(tail_)))
