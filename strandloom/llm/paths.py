@@ -95,9 +95,11 @@ def paths(units: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, ...]:
 
 #: Bytes of input for which one range of hashes is made, paths or windows that a task gathers before it packs them.
 RANGE_BYTES, BLOCK_RECORDS = 4_000_000, 150_000
-_RECORD = [("seed", np.uint64), ("name", np.uint64), ("key", np.int64), ("start", np.int32), ("n", np.int32), ("flag", np.uint8)]
+_RECORD = [("seed", np.uint64), ("name", np.uint64), ("key", np.int64), ("start", np.int32), ("n", np.int32), ("tag", np.uint32), ("flag", np.uint8)]
+#: Different paths at a seed from which on its windows are dealt out one by one, and not together.
+HOT_PATHS = 256
 _PACKED = "range long, records binary, done binary"
-#: key of a text; its runs of windows, as pairs of 4-byte numbers (first window, windows); whether they are only to be opened.
+#: key of a text; its runs of windows, as pairs of 4-byte numbers (first window, windows), or, to be opened, as _RUN.
 _SPANS = "key long, open boolean, spans binary"
 
 
@@ -108,8 +110,9 @@ def repeated(docs: DataFrame, units_of, width: int, seed: int, first_stays: bool
     1. Tasks cut texts into paths, settle equal ones of their own block, and pack one of each by ranges of the seed's hash.
     2. A range sorts its paths. A seed met once: its windows are unique, and gone. Equal paths repeat as a whole. Where
        different paths share a seed, one of each is opened.
-    3. Opened paths go back to their texts and are packed window by window, by ranges of the window's hash; again blocks are
-       settled before they are sent, so that no hash, however common, brings a range more than one record a block.
+    3. Opened paths go back to their texts and are packed window by window: those of one seed together, so that windows in a row
+       stay runs, but where very many paths share the seed by ranges of each window's own hash. Again blocks are settled
+       before they are sent, so that no window, however common, brings a range more than one record a block.
     4. A range sorts its windows.
     Only hashes and coordinates move in 1, 2 and 4; a path's 64-bit hash counts only together with its seed's.
     """
@@ -124,50 +127,52 @@ def repeated(docs: DataFrame, units_of, width: int, seed: int, first_stays: bool
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                 s, p, first, count = paths(units_of(text), width, seed)
                 if len(s):
-                    parts.append((s, p, np.full(len(s), key), first, count))
+                    parts.append((s, p, np.full(len(s), key), first, count, _tag(s)))
                     size += len(s)
                 if size >= BLOCK_RECORDS:
-                    yield _pack(_records(parts), n_ranges, first_stays, "seed")
+                    yield _pack(_records(parts), n_ranges, first_stays)
                     parts, size = [], 0
         if parts:
-            yield _pack(_records(parts), n_ranges, first_stays, "seed")
+            yield _pack(_records(parts), n_ranges, first_stays)
 
     def settle_paths(group: pd.DataFrame) -> pd.DataFrame:
         r, done = _unpack(group)
         r, heads, covered, many = _settled(r, first_stays)
         at = np.flatnonzero(_new(r["seed"]))
-        branching = np.repeat(np.add.reduceat(heads.astype(int), at) > 1, np.diff(np.append(at, len(r)))) if len(r) else heads
-        opened = r[heads & branching]
-        opened_many = many[heads & branching]
-        return pd.concat([_spans(np.concatenate([done, _span_rows(r[covered])]), False), _spans(_opened_rows(opened, opened_many), True)])
+        kinds = np.repeat(np.add.reduceat(heads.astype(int), at), np.diff(np.append(at, len(r)))) if len(r) else heads.astype(int)
+        opened = heads & (kinds > 1)
+        return pd.concat([_spans(np.concatenate([done, _span_rows(r[covered])])), _opened(r[opened], many[opened], kinds[opened] > HOT_PATHS)])
 
     def pack_windows(batches):
         parts, size = [], 0
         for b in (x for batch in batches for x in pieces(batch)):
             for key, text, runs in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
                 units = units_of(text)
-                runs = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in runs])
-                runs = runs[np.argsort(runs[:, 0])]
-                many, count = (runs[:, 1] < 0).astype(np.uint8), np.abs(runs[:, 1])
+                runs = np.concatenate([np.frombuffer(x, _RUN) for x in runs])
+                runs = runs[np.argsort(runs["start"])]
                 for k in range(0, len(runs), 4096):  # a very long text goes in parts
-                    first, n, m = runs[k : k + 4096, 0].astype(np.int64), count[k : k + 4096], many[k : k + 4096]
+                    some = runs[k : k + 4096]
+                    first, n = some["start"].astype(np.int64), some["n"]
                     low, high = int(first[0]), int((first + n).max()) + width - 1
                     sums = prefix_sums(units[low:high])
                     at = np.repeat(first - low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     half = span_hash(sums, at, at + width // 2)
                     rest = span_hash(sums, at + width // 2, at + width)
-                    parts.append((half, mixed(half * np.uint64(_BASE) + rest), np.full(len(at), key), at + low, np.ones(len(at), np.int32), np.repeat(m, n)))
+                    name = mixed(half * np.uint64(_BASE) + rest)
+                    hot = np.repeat(some["hot"], n)
+                    tag = np.where(hot > 0, _tag(name), np.repeat(some["tag"], n))
+                    parts.append((half, name, np.full(len(at), key), at + low, np.ones(len(at), np.int32), tag, np.repeat(some["many"], n)))
                     size += len(at)
                     if size >= BLOCK_RECORDS:
-                        yield _pack(_records(parts), n_ranges, first_stays, "name")
+                        yield _pack(_records(parts), n_ranges, first_stays)
                         parts, size = [], 0
         if parts:
-            yield _pack(_records(parts), n_ranges, first_stays, "name")
+            yield _pack(_records(parts), n_ranges, first_stays)
 
     def settle_windows(group: pd.DataFrame) -> pd.DataFrame:
         r, done = _unpack(group)
         r, _, covered, _ = _settled(r, first_stays)
-        return _spans(np.concatenate([done, _span_rows(r[covered])]), False)
+        return _spans(np.concatenate([done, _span_rows(r[covered])]))
 
     packed = docs.select("key", "text").mapInArrow(pack_paths, _PACKED)
     found = written(packed.groupBy("range").applyInPandas(settle_paths, _SPANS))
@@ -203,31 +208,37 @@ def _settled(r: np.ndarray, first_stays: bool) -> tuple[np.ndarray, ...]:
     return r, heads, many & (r["flag"] == 0), many
 
 
-def _pack(r: np.ndarray, n_ranges: int, first_stays: bool, by: str) -> pa.RecordBatch:
+def _tag(hashes: np.ndarray) -> np.ndarray:
+    """What decides the range: the hash mixed anew, as seeds are the smallest of many and so small themselves."""
+    return (mixed(hashes) >> np.uint64(32)).astype(np.uint32)
+
+
+def _pack(r: np.ndarray, n_ranges: int, first_stays: bool) -> pa.RecordBatch:
     r, heads, covered, many = _settled(r, first_stays)
     # a kind met only once in the block is settled later; one met again leaves its first record, to stand for it
     if not first_stays:
         covered &= np.repeat(np.diff(np.append(np.flatnonzero(heads), len(r))) > 1, np.diff(np.append(np.flatnonzero(heads), len(r)))) if len(r) else heads
-    done = _span_rows(r[covered])
+    done = _merged(_span_rows(r[covered]))
     kept = r[heads]
     if not first_stays:
         kept["flag"] = many[heads]
-    # by the upper half of a product: ranges of the hash, of equal width
-    at = ((kept[by] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+    at = (kept["tag"].astype(np.uint64) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((kept["start"], kept["key"], at))
     kept, at = kept[order], at[order]
     cuts = np.flatnonzero(np.diff(at)) + 1
-    rows = [(int(at[a]), _columns(kept[a:b]), b"") for a, b in zip([0, *cuts], [*cuts, len(kept)]) if b > a]
-    rows[0] = (*rows[0][:2], done.tobytes())
+    starts = [0, *cuts]
+    shares = np.array_split(done, len(starts))  # what is settled already travels with all ranges alike
+    rows = [(int(at[a]), _columns(kept[a:b]), d.tobytes()) for a, b, d in zip(starts, [*cuts, len(kept)], shares)]
     ranges, records, dones = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array(records, pa.binary()), pa.array(dones, pa.binary())], ["range", "records", "done"])
 
 
 def _columns(r: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(r[name]).tobytes() for name, _ in _RECORD)
+    return b"".join(np.ascontiguousarray(r[name]).tobytes() for name, _ in _SENT)
 
 
-_SIZE = sum(np.dtype(t).itemsize for _, t in _RECORD)
+_SENT = [x for x in _RECORD if x[0] != "tag"]  # a path's follows from its seed, a window's has done its work
+_SIZE = sum(np.dtype(t).itemsize for _, t in _SENT)
 _ROW = np.dtype([("key", np.int64), ("start", np.int32), ("n", np.int32)])
 
 
@@ -236,10 +247,11 @@ def _unpack(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     i = 0
     for blob in group["records"]:
         n, at = len(blob) // _SIZE, 0
-        for name, t in _RECORD:
+        for name, t in _SENT:
             out[name][i : i + n] = np.frombuffer(blob, t, n, at)
             at += n * np.dtype(t).itemsize
         i += n
+    out["tag"] = _tag(out["seed"])
     return out, np.frombuffer(b"".join(group["done"]), _ROW)
 
 
@@ -250,26 +262,42 @@ def _span_rows(r: np.ndarray) -> np.ndarray:
     return out
 
 
-def _opened_rows(r: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Runs to be opened; a negative number of windows: they are settled already and only count for others."""
-    out = _span_rows(r)
-    out["n"] = np.where(many, -out["n"], out["n"])
-    return out
+_RUN = np.dtype([("start", np.int32), ("n", np.int32), ("tag", np.uint32), ("many", np.uint8), ("hot", np.uint8)])
+
 
+def _opened(r: np.ndarray, many: np.ndarray, hot: np.ndarray) -> pd.DataFrame:
+    """Runs to be opened. many: they are settled already and only count for others."""
+    runs = np.zeros(len(r), _RUN)
+    for name in ("start", "n", "tag"):
+        runs[name] = r[name]
+    runs["many"], runs["hot"] = many, hot
+    order = np.lexsort((r["start"], r["key"]))
+    runs, key = runs[order], r["key"][order]
+    at = np.flatnonzero(_new(key))
+    return pd.DataFrame({"key": key[at], "open": True, "spans": [runs[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(runs)))]})
 
-def _spans(rows: np.ndarray, opened: bool) -> pd.DataFrame:
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Runs of windows in order, those that touch or overlap made one."""
     rows = rows[np.lexsort((rows["start"], rows["key"]))]
-    if len(rows) and not opened:  # runs that touch or overlap become one
-        end = rows["start"].astype(np.int64) + rows["n"]
-        fresh = _new(rows["key"]) | np.concatenate([[True], rows["start"][1:] > end[:-1]])
-        at = np.flatnonzero(fresh)
-        last = np.maximum.reduceat(end, at)
-        rows = rows[at]
-        rows["n"] = last - rows["start"]
+    if not len(rows):
+        return rows
+    end = rows["start"].astype(np.int64) + rows["n"]
+    # an end counts for the runs after it in its text: running maxima by text, as texts come in order
+    text = np.cumsum(_new(rows["key"]))
+    reach = np.maximum.accumulate(end + (text << 33)) - (text << 33)
+    at = np.flatnonzero(_new(rows["key"]) | np.concatenate([[True], rows["start"][1:] > reach[:-1]]))
+    out = rows[at]
+    out["n"] = np.maximum.reduceat(end, at) - out["start"]
+    return out
+
+
+def _spans(rows: np.ndarray) -> pd.DataFrame:
+    rows = _merged(rows)
     at = np.flatnonzero(_new(rows["key"]))
     pairs = np.stack([rows["start"], rows["n"]], 1)
     blobs = [pairs[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(rows)))]
-    return pd.DataFrame({"key": rows["key"][at], "open": opened, "spans": blobs})
+    return pd.DataFrame({"key": rows["key"][at], "open": False, "spans": blobs})
 
 
 def covered_units(n_units: int, spans, width: int) -> np.ndarray:
