@@ -8,14 +8,14 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import pieces, table
 
 #: Characters of text whose words are replayed together, and words that a task remembers from block to block.
-BLOCK_CHARS, KEPT_WORDS = 6_000_000, 400_000
+BLOCK_CHARS, KEPT_WORDS = 6_000_000, 250_000
 _LOADED: dict[tuple[str, str], MergeReplay] = {}
 
 
@@ -44,8 +44,9 @@ class MergeReplay:
 
         All words lie in one row of positions, linked to their neighbours within the word. An index has the positions
         of each mergeable pair by the pair's rank. Ranks are replayed in rising order from a heap; a merge touches its two
-        neighbours only, whose new pairs join the index. All positions of a rank merge as one array. A word in which a merge makes a pair of a lower rank than the one at hand (no trained
-        vocabulary is known to need it) is encoded anew by itself, lowest pair first.
+        neighbours only, whose new pairs join the index. All positions of a rank merge as one array. A
+        word in which a merge makes a pair of a lower rank than the one at hand (no trained vocabulary is known to need it) is
+        encoded anew by itself, lowest pair first.
         """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1] + 1
@@ -142,37 +143,60 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     a word costs one replay a block, however often it occurs. A null or empty text has no tokens. A text longer than a
     block makes a block by itself. Rows that repeat are encoded alike; other columns are not read.
     """
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, known = loaded(path, pattern), _Words()
+        for doc_ids, texts in _blocks(batches, lambda t: np.fromiter(map(known.__getitem__, bpe.words(t)), np.int32)):
+            known.encode(bpe)
+            size, ids, decoded = np.array(known.size, np.int64), known.ids, known.bytes
+            n, joined, raw = [], [], []
+            for words in texts:
+                n.append(int(size[words].sum()))
+                joined.append(",".join([ids[w] for w in words.tolist()]))
+                raw.append(hashlib.sha256(b"".join([decoded[w] for w in words.tolist()])).hexdigest())
+            cols = [doc_ids, n, [hashlib.sha256(x.encode()).hexdigest() for x in joined], raw] + [[[int(i) for i in x.split(",") if i] for x in joined]] * with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [f for f, _ in fields])
+            if len(known) > KEPT_WORDS:
+                known.forget()
+
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").mapInArrow(run, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(path, pattern)
-        known: dict[str, tuple[int, str, bytes]] = {}
-        for doc_ids, texts in _blocks(batches):
-            split = [bpe.words(t) for t in texts]
-            fresh = list({w for ws in split for w in ws if w not in known})
-            for w, ids in zip(fresh, bpe.encode_words([w.encode() for w in fresh])):
-                known[w] = len(ids), ",".join(map(str, ids)), bpe.decode(ids)
-            rows = []
-            for ws in split:
-                got = [known[w] for w in ws]
-                joined = ",".join([g[1] for g in got])
-                row = [sum([g[0] for g in got]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()]
-                rows.append(row + [[int(x) for x in joined.split(",") if x]] * with_ids)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-            out.insert(0, "doc_id", pd.array(doc_ids, dtype="Int64"))
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            yield out
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").mapInPandas(run, schema)
+class _Words(dict):
+    """Numbers of words, and by number what their encoding comes to; words are numbered when they are first looked up."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+        self.size: list[int] = []
+        self.ids: list[str] = []
+        self.bytes: list[bytes] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+    def encode(self, bpe: MergeReplay) -> None:
+        for ids in bpe.encode_words([w.encode() for w in self.fresh]):
+            self.size.append(len(ids))
+            self.ids.append(",".join(map(str, ids)))
+            self.bytes.append(bpe.decode(ids))
+        self.fresh = []
+
+    def forget(self) -> None:
+        self.clear()
+        self.__init__()
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], split) -> Iterator[tuple[list, list]]:
+    """Ids and split texts, some BLOCK_CHARS at a time."""
     ids, texts, size = [], [], 0
-    for b in batches:
-        for i, t in zip(b["doc_id"].astype("Int64"), b["text"]):
+    for b in (x for batch in batches for x in pieces(batch)):
+        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             ids.append(i)
-            texts.append(t)
+            texts.append(split(t))
             size += len(t)
             if size >= BLOCK_CHARS:
                 yield ids, texts
