@@ -114,3 +114,19 @@ def test_whole_run_writes_and_reads(spark, tmp_path):
     with pytest.raises(ValueError):
         Config(k=32)
     assert a.contigs.agg(F.max(F.length("seq"))).first()[0] >= 1150
+
+
+def test_a_shared_repeat_is_copied(spark):
+    from strandloom.operators import disentangle
+
+    parts = [genome(i, 400) for i in range(20, 24)]
+    repeat = genome(30, 45)
+    one, two = parts[0] + repeat + parts[1], parts[2] + repeat + parts[3]
+    seqs = [g[p : p + 100] for g in (one, two) for p in range(0, len(g) - 99, 4)]
+    a = assemble(reads_of(spark, seqs), Config(k=K, clean=False))
+    assert disentangle.crossings(a.contigs).count() == 1
+    done, n = disentangle.parallel_paths(a.contigs, a.short_pairs, K)
+    assert n == 1 and graph.violations(done, K).count() == 0
+    found = [r.seq for r in done.collect()]
+    assert len(found) == 2 and all(any(s in g or turn(s) in g for g in (one, two)) and len(s) > 800 for s in found)
+    assert disentangle.parallel_paths(a.contigs, a.short_pairs.limit(0), K)[1] == 0
