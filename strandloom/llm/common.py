@@ -7,6 +7,7 @@ changes nothing. Where they are not, the rows are numbered once and written.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,6 +47,8 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    gc.collect()  # what made the table can go: its shuffle files stay until the driver's JVM has collected their owners
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
