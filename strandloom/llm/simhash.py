@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, ordered, table, written
+from .common import components, ordered, pieces, table, written
 
 _STEP = 4096  # shingles whose bits are counted at a time
 
@@ -34,12 +34,12 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", fp long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([fingerprint(t or "", width) for t in b["text"]], np.uint64).astype(np.int64)
-            yield b[rest].assign(fp=fps)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in pieces(batch)):
+            fps = np.array([fingerprint(t or "", width) for t in b.column("text").to_pylist()], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(fps)], [*rest, "fp"])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, pieces, table
 
 #: Terms that name a group of people; a term may stand in for any other of its line.
 IDENTITY_TERMS = (
@@ -136,7 +136,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             scores = [shared.value.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
@@ -149,7 +149,7 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             yield b.filter(pa.array([shared.value.score(t) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
