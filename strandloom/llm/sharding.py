@@ -86,7 +86,7 @@ def shard_rows(docs: DataFrame, shards: int = 16) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("piece")
     pieces = put.groupBy("shard", "piece").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(before) - F.col("n")).drop("n")
     slot = F.row_number().over(Window.partitionBy("piece", "shard").orderBy("doc_id", "text_crc32")) - 1
-    return put.withColumn("slot", slot).join(F.broadcast(pieces) if shards <= 64 else pieces, ["shard", "piece"]).select(
+    return put.withColumn("slot", slot).join(pieces, ["shard", "piece"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("base")).cast("long").alias("slot")
     )
 
