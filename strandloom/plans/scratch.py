@@ -17,15 +17,15 @@ def folder(spark: SparkSession) -> str:
     root = f"{(sc.getConf().get('spark.checkpoint.dir') or OWN_CHECKPOINT_DIR).rstrip('/')}/stages-{sc.applicationId}"
     if root not in _KNOWN:
         _KNOWN.add(root)
-        atexit.register(remove, spark, root)
+        atexit.register(remove, sc._jvm, sc._jsc.hadoopConfiguration(), root)
     return root
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def remove(jvm, conf, path: str) -> None:
     try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone; the folder is only scratch
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the JVM may be gone already; the folder is only scratch
         pass
 
 

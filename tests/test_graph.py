@@ -25,7 +25,7 @@ def reads_of(spark, seqs):
 
 
 def graph_of(spark, seqs):
-    return graph.contig_graph(kmers.kmer_counts(kmers.fragments(reads_of(spark, seqs), K), K), K).localCheckpoint()
+    return graph.contig_graph(kmers.kmer_counts(kmers.fragments(reads_of(spark, seqs), K), K), K).cache()
 
 
 def test_chains(spark):

@@ -88,10 +88,10 @@ def reads_of(seed, n=120, length=400):
 
 def exact(spark, reads, k, j):
     df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
-    solid = kmers.solid(kmers.kmer_counts(kmers.fragments(df, k), k)).localCheckpoint()
-    valid = kmers.valid_fragments(kmers.fragments(df, k, 2 * j + 1), solid, k).localCheckpoint()
+    solid = kmers.solid(kmers.kmer_counts(kmers.fragments(df, k), k)).cache()
+    valid = kmers.valid_fragments(kmers.fragments(df, k, 2 * j + 1), solid, k).cache()
     sites = junctions.sites(valid, k, j)
-    met = junctions.junction_sites(sites, junctions.junction_keys(sites, kmers.oriented(solid, k), k, j)).localCheckpoint()
+    met = junctions.junction_sites(sites, junctions.junction_keys(sites, kmers.oriented(solid, k), k, j)).cache()
     return df, solid, valid, met
 
 
@@ -127,11 +127,11 @@ def test_pairs_and_merge(spark):
     k, j = 9, 1
     _, _, valid, met = exact(spark, reads_of(5), k, j)
     fake = junctions.fake_junctions(valid, met, k, j)
-    found = pairs.results(met, fake, k).localCheckpoint()
+    found = pairs.results(met, fake, k).cache()
     assert found.select("read_id", "frag_no", "run_no").distinct().count() == valid.count()
-    known = pairs.short_pairs(found, k).localCheckpoint()
+    known = pairs.short_pairs(found, k).cache()
     assert known.count() > 0 and known.where("k1 > k2").count() == 0
-    t = junctions.junctions(met, j).localCheckpoint()
+    t = junctions.junctions(met, j).cache()
     twice = {r.kmer: list(r.cov) for r in merge_junctions(t, t).collect()}
     assert twice == {r.kmer: [min(255, 2 * c) for c in r.cov] for r in t.collect()}
     row = known.select(F.lit(1).alias("g"), F.col("k1").alias("a"), F.col("k2").alias("b"))
