@@ -29,16 +29,15 @@ def scratch(spark: SparkSession) -> str:
     root = f"{base.rstrip('/')}/strandloom-{sc.applicationId}"
     if root not in _SCRATCH:
         _SCRATCH.add(root)
-        atexit.register(_remove, spark, root)
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), root)
     return root
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(jvm, conf, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone already; the folder is only scratch
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the JVM may be gone already; the folder is only scratch
         pass
 
 
@@ -56,12 +55,14 @@ def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing reads any more."""
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         if any(root.rpartition("/")[2] in f for root in _SCRATCH):
-            _remove(df.sparkSession, f)
+            sc = df.sparkSession.sparkContext
+            _remove(sc._jvm, sc._jsc.hadoopConfiguration(), f)
 
 
 def ordered(docs: DataFrame, rest: bool = False) -> DataFrame:
-    """doc_id, text (null: empty), with rest a struct of all columns as they were, and key: a long of its own for every row, in the order of doc_id (nulls first) and, where
-    rows share a doc_id, of the text's hash. Where doc_ids are unique, as they should be, they are the keys."""
+    """doc_id, text (null: empty), with rest a struct of all columns as they were, and key: a long of its own for every row,
+    in the order of doc_id (nulls first) and, where rows share a doc_id, of the text's hash. Where doc_ids are unique, as
+    they should be, they are the keys."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     docs = docs.select(*own, *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest")] * rest))
     if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():

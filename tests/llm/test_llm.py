@@ -44,7 +44,7 @@ def odd_rows():
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).localCheckpoint()
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
