@@ -97,9 +97,9 @@ def valid_extensions(spark, sf_dir):
     return kmers.with_extensions(both, masks, K).select("kmer", F.when(n == 0, -1).when(n > 1, -2).otherwise(F.expr("cast(log2(greatest(mask, 1)) as int)")).alias("extension"))
 
 
-def _valid(spark, sf_dir):
+def _valid(spark, sf_dir, solid=None):
     frags = kmers.fragments(reads(spark, sf_dir), K, 2 * J + 1)
-    return kmers.valid_fragments(frags, solid_kmers(spark, sf_dir), K)
+    return kmers.valid_fragments(frags, solid if solid is not None else solid_kmers(spark, sf_dir), K)
 
 
 def valid_fragments(spark, sf_dir):
@@ -107,9 +107,10 @@ def valid_fragments(spark, sf_dir):
 
 
 def _met(spark, sf_dir):
-    valid = written(_valid(spark, sf_dir))
+    solid = written(solid_kmers(spark, sf_dir))  # read by both uses
+    valid = written(_valid(spark, sf_dir, solid))
     all_sites = junctions.sites(valid, K, J)
-    keys = junctions.junction_keys(all_sites, written(kmers.oriented(solid_kmers(spark, sf_dir), K)), K, J)
+    keys = junctions.junction_keys(all_sites, written(kmers.oriented(solid, K)), K, J)
     return valid, junctions.junction_sites(all_sites, keys)
 
 
