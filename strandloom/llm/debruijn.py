@@ -69,3 +69,22 @@ def without_repeats(docs: DataFrame, edge: int = EDGE_WORDS, with_text: bool = F
 
 def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), e AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY list_slice(w, s, s + 19) ORDER BY doc_id, s) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM w)
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM e WHERE n > 1
+), r AS (
+  SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id
+), k AS (
+  SELECT w.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+         CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS kept
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_lm": lm.op10_lm,
 }
 #: DuckDB SQL for the queries that SQL can express within reason.
-ORACLE_SQL: dict[str, str] = {"op3_topk": topk.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.OP3_SQL, "op6_debruijn": debruijn.OP6_SQL}

@@ -541,3 +541,12 @@ def test_pipeline_stages(spark, docs, encoding):
         else:
             assert all(after[i].n_tokens == len(encoding.encode_ordinary(before[i].text)) for i in before)
     assert corpus_pipeline.run(spark, SF).count() == frame.count()
+
+
+def test_words_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sorted(con.execute(debruijn.OP6_SQL).fetchall())
+    assert sorted(map(tuple, debruijn.op6_debruijn(spark, SF).collect())) == want
