@@ -273,6 +273,27 @@ def test_lines_of_families(spark):
     assert n_want <= n_got <= n_want + 0.05 * (taken - n_want)  # recall of 0.95 at least; nothing goes that should stay
 
 
+def test_lines_of_a_large_family(spark):
+    """Versions that resemble the original, and hardly one another: all are the original's, and the first of them alone stays."""
+    rnd = random.Random(21)
+    words = [f"{rnd.choice(WORDS)}{rnd.randrange(1000)}" for _ in range(50)]
+    rows = {" ".join(words)}
+    while len(rows) < 3000:
+        other = list(words)
+        for at in rnd.sample(range(50), 2):
+            other[at] = f"{rnd.choice(WORDS)}{rnd.randrange(1000)}"
+        rows.add(" ".join(other))
+    cut = re.compile(r"(?s)(?=(.{1,12}))\S{1,10}\s*")
+    sets = {x: set(cut.findall(x)) for x in rows}
+    near = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    rows = [x for x in sorted(rows) if near(x, " ".join(words)) >= 0.8]
+    some = [near(*rnd.sample(rows, 2)) for _ in range(2000)]
+    assert len(rows) > 2500 and sum(x < 0.8 for x in some) > 1000
+    rnd.shuffle(rows)
+    got = lines.without_fuzzy_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert got.where("n_removed = 0").count() <= 1 + 0.01 * len(rows)
+
+
 def test_lines_on_odd_rows(odd):
     got = lines.without_fuzzy_lines(odd).select("doc_id", "text", "rest.key", "n_lines", "n_removed").collect()
     assert len(got) == len(odd_rows())
