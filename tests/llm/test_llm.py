@@ -294,6 +294,17 @@ def test_lines_of_a_large_family(spark):
     assert got.where("n_removed = 0").count() <= 1 + 0.01 * len(rows)
 
 
+def test_lines_without_spaces(spark):
+    """A character put in or taken out anywhere in a long run without white space leaves the line near its original."""
+    rnd = random.Random(22)
+    rows = []
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789+/", "".join(map(chr, range(0x4E00, 0x5200)))):
+        x = "".join(rnd.choice(letters) for _ in range(200))
+        rows += [x, letters[3] + x, x[:1] + letters[5] + x[1:], x[1:], x[:20] + x[21:], x[:100] + letters[7] + x[100:]]
+    got = lines.without_fuzzy_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.where("n_removed = 0").collect()) == [0, 6]
+
+
 def test_lines_on_odd_rows(odd):
     got = lines.without_fuzzy_lines(odd).select("doc_id", "text", "rest.key", "n_lines", "n_removed").collect()
     assert len(got) == len(odd_rows())
