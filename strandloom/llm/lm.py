@@ -13,10 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pieces, table, written
+from .common import crc_mod, drop_written, pieces, table, written
 
-#: Bits of the filter at most (it is broadcast: 32 MB), bits for each entry, probes of an entry.
-MAX_BITS, BITS_AN_ENTRY, PROBES = 1 << 28, 8, 5
+#: Bits of a filter that is broadcast, at most (32 MB; a larger one stays a table), of a segment, and for each entry; probes of an entry.
+MAX_BITS, SEGMENT_BITS, BITS_AN_ENTRY, PROBES = 1 << 28, 1 << 25, 8, 5
 #: Words of the table of exact counts that is broadcast, at most; rarer words are joined.
 HEAD_WORDS = 100_000
 #: Tokens that a task gathers before it hands them on, and tokens whose n-grams one reduce group gets.
@@ -115,8 +115,7 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The middle of each level's range; 0 if no level answers."""
-        q = self.levels(keys)
-        return np.where(q > 0, 1.5 * 2.0 ** (q - 1) - 0.5, 0.0)
+        return _means(self.levels(keys))
 
 
 def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -174,19 +173,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def count_filter(docs: DataFrame, n_tokens: int, max_bits: int = MAX_BITS) -> tuple[Filter, float]:
-    """The filter over the texts' tokens and pairs, and the part of pairs that occur more than once.
+def count_filter(docs: DataFrame, n_tokens: int) -> tuple[DataFrame, int, int, float]:
+    """The filter over all tokens and pairs of the texts as a table (segment, bits), how many segments it has, bits of each,
+    and the part of pairs that occur more than once.
 
     Tasks count the n-grams of a block and pack them by ranges of keys; a group gets the range's blocks and adds up.
-    Each range has an equal share of the filter's room: where its n-grams need more, the rarest (by a least count, for the
-    whole range alike) are left out. Ranges are as many as the corpus needs for groups of a bounded size; what enters the
-    filter is bounded by the filter, whose segments are then built apart and gathered on the driver.
+    Ranges are as many as the corpus needs for groups of a bounded size, segments as many as the n-grams need for segments of
+    a bounded size: nothing is left out.
     """
-    spark = docs.sparkSession
     ranges = _power(2 * n_tokens / GROUP_TOKENS)
-    bits = min(max_bits, _power(2 * n_tokens * BITS_AN_ENTRY) if n_tokens else 64)
-    n_segments = max(1, min(ranges, 512, bits // 64))
-    share = bits / BITS_AN_ENTRY / ranges
 
     def pack(batches):
         hashes = _Hashes()
@@ -210,26 +205,37 @@ def count_filter(docs: DataFrame, n_tokens: int, max_bits: int = MAX_BITS) -> tu
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, n = keys[first], np.add.reduceat(n, first)
         level = np.floor(np.log2(n)).astype(np.int64) + 1
-        room, least = np.bincount(level) * np.arange(level.max() + 1), 1
-        while room[least:].sum() > max(share, 1) and least < len(room):
-            least += 1
-        stay = level >= least
-        seg = segment_of(keys[:1], n_segments)
-        return pd.DataFrame({"segment": seg, "keys": [_packed(keys[stay])], "levels": [level[stay].astype(np.uint8).tobytes()], "once": [int((n == 1).sum())], "all": [int(n.sum())]})
+        return pd.DataFrame({"range": group["range"].iloc[:1], "keys": [_packed(keys)], "levels": [level.astype(np.uint8).tobytes()], "entries": [int(level.sum())], "once": [int((n == 1).sum())], "all": [int(n.sum())]})
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         keys = _unpacked(group["keys"])
         levels = np.concatenate([np.frombuffer(x, np.uint8) for x in group["levels"]])
-        return pd.DataFrame({"segment": group["segment"].iloc[:1], "bits": [Filter.segment(keys, levels, bits // n_segments).tobytes()], "once": [int(group["once"].sum())], "all": [int(group["all"].sum())]})
+        return pd.DataFrame({"segment": group["segment"].iloc[:1], "bits": [Filter.segment(keys, levels, bits).tobytes()]})
 
     packed = docs.select("text").mapInArrow(pack, "range long, keys binary, n binary")
-    added = packed.groupBy("range").applyInPandas(add, "segment long, keys binary, levels binary, once long, all long")
-    built = added.groupBy("segment").applyInPandas(build, "segment long, bits binary, once long, all long").collect()
-    segments: list[np.ndarray | None] = [None] * n_segments
-    for r in built:
-        segments[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    once, total = sum(r["once"] for r in built), sum(r["all"] for r in built)
-    return Filter(segments, bits // n_segments), 1 - min(once / max(total, 1) * 2, 0.95)
+    added = written(packed.groupBy("range").applyInPandas(add, "range long, keys binary, levels binary, entries long, once long, all long"))
+    entries, once, total = (x or 0 for x in added.agg(F.sum("entries"), F.sum("once"), F.sum("all")).first())
+    n_segments = min(ranges, _power(entries * BITS_AN_ENTRY / SEGMENT_BITS))
+    bits = _power(max(64, entries * BITS_AN_ENTRY / n_segments))
+    by_segment = added.select(F.expr(f"range div {ranges // n_segments}").alias("segment"), "keys", "levels").groupBy("segment")
+    built = written(by_segment.applyInPandas(build, "segment long, bits binary"))
+    drop_written(added)
+    return built, n_segments, bits, 1 - min(once / max(total, 1) * 2, 0.95)
+
+
+def _answers(asked: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
+    """block, segment and levels (a byte a key) of the keys asked: they go to their segment, no task holds more than one."""
+
+    def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        sieve = Filter([np.frombuffer(own["bits"].iloc[0], np.uint8)] if len(own) else [None], bits)
+        levels = [sieve.levels(_unpacked([k])).astype(np.uint8).tobytes() for k in asks["data"]]
+        return pd.DataFrame({"block": asks["block"], "segment": asks["segment"], "levels": levels})
+
+    return asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInPandas(answer, "block long, segment long, levels binary")
+
+
+def _means(q: np.ndarray) -> np.ndarray:
+    return np.where(q > 0, 1.5 * 2.0 ** (q.astype(np.int64) - 1) - 0.5, 0.0)
 
 
 def lm_scores(docs: DataFrame, train, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -238,7 +244,8 @@ def lm_scores(docs: DataFrame, train, max_bits: int = MAX_BITS, head_words: int
     base_score is exact: counts of frequent words are broadcast (at most head_words), those of the rest are joined. score
     is the log10 probability under pairs of words: m * count(v w) / count(v) + (1 - m) * (count(w) + 1) / (N + V + 1), the
     counts by probes of the filter, m by Good and Turing from pairs seen once; after a word that the filter lacks, m is
-    0. A null text counts as empty: its one token is the end. Rows that repeat are learnt and scored as often as they stand.
+    0. A filter of more than max_bits stays a table, and each block of texts sends its different n-grams to their segments
+    and gets their levels back; the scores are the same. A null text counts as empty: its one token is the end. Rows that repeat are learnt and scored as often as they stand.
     With no row to learn from, every token has probability 1.
     """
     spark = docs.sparkSession
@@ -255,24 +262,36 @@ def lm_scores(docs: DataFrame, train, max_bits: int = MAX_BITS, head_words: int
             break
         at_least = r["bin"]
     head = {bytes(r.word): math.log10(r.c + 1) for r in counts.where(bins >= at_least).collect()} if at_least is not None else {}
-    sieve, seen = count_filter(learn, n_train, max_bits)
+    segments, n_segments, bits, seen = count_filter(learn, n_train)
+    sieve = None
+    if n_segments * bits <= max_bits:
+        own: list[np.ndarray | None] = [None] * n_segments
+        for r in segments.collect():
+            own[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+        sieve = Filter(own, bits)
     shared = spark.sparkContext.broadcast((head, sieve))
 
+    def scored(sizes: np.ndarray, c: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        before = np.concatenate([[0.0], c[:-1]])
+        before[starts] = len_start
+        m = np.where(before > 0, seen, 0.0)
+        p = m * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - m) * np.minimum(1, (c + 1) / whole)
+        return np.add.reduceat(np.log10(p), starts)
+
     def run(batches):
         head, sieve = shared.value
         known, hashes = head.get, _Hashes()
         for rest, texts, flat in _in_blocks(batches, hashes):
             alone, both = ngrams(flat)
-            words, place = np.unique(alone, return_inverse=True)
-            c = sieve.counts(words)[place]
-            pairs, place = np.unique(both, return_inverse=True)
-            c2 = sieve.counts(pairs)[place]
-            ends = np.cumsum([len(t) for t in texts])
-            before = np.concatenate([[0.0], c[:-1]])
-            before[np.concatenate([[0], ends[:-1]])] = len_start
-            m = np.where(before > 0, seen, 0.0)
-            p = m * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - m) * np.minimum(1, (c + 1) / whole)
-            score = np.add.reduceat(np.log10(p), np.concatenate([[0], ends[:-1]]))
+            words, at = np.unique(alone, return_inverse=True)
+            pairs, at2 = np.unique(both, return_inverse=True)
+            sizes = np.array([len(t) for t in texts])
+            if sieve:
+                score = scored(sizes, sieve.counts(words)[at], sieve.counts(pairs)[at2])
+            else:
+                score = np.full(len(texts), np.nan)
+                yield from asks(rest, sizes, words, at, pairs, at2)
             heads, n_heads, rare, n_rare, until = [], [], [], [], [0]
             for t in texts:
                 got = list(map(known, t))
@@ -284,13 +303,39 @@ def lm_scores(docs: DataFrame, train, max_bits: int = MAX_BITS, head_words: int
                 until.append(len(rare))
             tails = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(n_rare, pa.int64())], fields=list(pair)))
             ids = [pa.array(x, pa.int64()) for x in zip(*rest)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(n_heads, pa.int64()), pa.array(heads), pa.array(score), tails], schema=schema)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(n_heads, pa.int64()), pa.array(heads), pa.array(score), tails, *(pa.nulls(len(texts), f.type) for f in list(schema)[-3:])], schema=schema)
+
+    def asks(rest, sizes, words, at, pairs, at2):
+        """A block's n-grams by segment, in the order of their keys, and (segment -1) its rows, their sizes and their tokens' places among them."""
+        keys = np.union1d(words, pairs)
+        at, at2 = (np.searchsorted(keys, x).astype(np.int32)[i] for x, i in ((words, at), (pairs, at2)))
+        seg = segment_of(keys, n_segments)
+        cuts = np.flatnonzero(np.diff(seg)) + 1
+        block = rest[0][0]
+        info = [np.array([len(rest)], "<i8"), np.array([r[0] for r in rest], "<i8"), sizes.astype("<i8"), at, at2]
+        data = [b"".join(x.tobytes() for x in info), *map(_packed, np.split(keys, cuts))]
+        parts = [-1, *seg[np.concatenate([[0], cuts])].tolist()]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(data), f.type) for f in list(schema)[:-3]), pa.array([block] * len(data), pa.int64()), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], schema=schema)
+
+    def put_together(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        raw = block["data"].iloc[0]
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        rows, sizes = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
+        at, at2 = np.frombuffer(raw, np.int32, offset=8 + 16 * n).reshape(2, -1)
+        c = _means(np.frombuffer(b"".join(answers.sort_values("segment")["levels"]), np.uint8))
+        return pd.DataFrame({"row": rows, "score": scored(sizes, c[at], c[at2])})
 
     pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pair))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pair)), ("block", pa.int64()), ("segment", pa.int64()), ("data", pa.binary())])
     len_start = float(head.get(END) and round(10 ** head[END] - 1) or 1)
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = written(own.mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, head double, score double, tail array<struct<word: binary, n: long>>"))
+    both = written(own.mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, head double, score double, tail array<struct<word: binary, n: long>>, block long, segment long, data binary"))
+    rows = both.where("row is not null").drop("block", "segment", "data")
+    if not sieve:
+        sent = both.where("row is null").select("block", "segment", "data")
+        answers = _answers(sent.where("segment >= 0"), segments, bits)
+        scores = sent.where("segment = -1").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(put_together, "row long, score double")
+        rows = rows.drop("score").join(written(scores), "row")
     rare = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n").join(counts, "word")
     rare = rare.groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare"))
     found = rows.drop("tail").join(rare, "row", "left").na.fill(0, ["n_rare", "rare"])

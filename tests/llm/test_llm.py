@@ -538,6 +538,21 @@ def test_lm(spark, texts, docs, head):
     assert len(small) == len(texts) and all(math.isfinite(r.score) and r.score <= 0 for r in small)
 
 
+def test_lm_leaves_no_ngram_out(spark, docs, odd, monkeypatch):
+    """A filter too large to be broadcast scores like one that is, and n-grams seen once are in it."""
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 16)
+    train = common.crc_mod("doc_id", 7) != 2
+    want, got = ({r.doc_id: r for r in lm.lm_scores(docs, train, max_bits=m).collect()} for m in (1 << 40, 1 << 12))
+    assert got == want
+    assert lm.lm_scores(odd, F.lit(True), max_bits=0).count() == len(odd_rows()) and lm.lm_scores(docs.limit(0), F.lit(True), max_bits=0).count() == 0
+    table, n, bits, _ = lm.count_filter(docs, 10**6)
+    own = {r.segment: np.frombuffer(r.bits, np.uint8) for r in table.collect()}
+    sieve = lm.Filter([own.get(i) for i in range(n)], bits)
+    texts = [lm.tokens_of(r.text) for r in docs.collect()]
+    assert n > 1 and all((sieve.levels(k) > 0).all() for k in lm.ngrams(lm._flat(texts, lm._Hashes())))
+
+
 def test_lm_on_odd_rows(odd, docs):
     got = lm.lm_scores(odd, F.lit(True)).collect()
     assert len(got) == len(odd_rows()) and {r.n_tokens for r in got if r.doc_id == 1} == {1}
