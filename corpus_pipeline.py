@@ -30,8 +30,8 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest doc_id of each near-duplicate group."""
-    return simhash.keep_one_of_each(docs)
+    """The row of the smallest doc_id of each group of near-duplicates by fingerprint or of texts of Jaccard 0.8 or more in five words."""
+    return simhash.keep_one_of_copies(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import lines
 from .common import components, ordered, pieces, table, written
 
 _STEP = 4096  # shingles whose bits are counted at a time
@@ -61,8 +62,8 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
-    """key, doc_id, fp, component_id (the smallest doc_id of those linked, directly or through others) and stays (this is
-    the first row of its component) of every row.
+    """key, doc_id, fp, component_id (the smallest doc_id of those linked, directly or through others), stays (this is
+    the first row of its component) and first_key (that row's key) of every row.
 
     Equal fingerprints are one class and links join classes, so that copies are never paired. A null text counts as
     empty; texts without words share the fingerprint 0. Rows that repeat a doc_id stay rows, the first of them by their text's
@@ -74,7 +75,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.min("first_key").alias("first_key"))
     found = rows.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id", "first_key"), "fp")
-    return found.select("key", "doc_id", "fp", "component_id", (F.col("key") == F.col("first_key")).alias("stays"))
+    return found.select("key", "doc_id", "fp", "component_id", (F.col("key") == F.col("first_key")).alias("stays"), "first_key")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
@@ -85,5 +86,47 @@ def keep_one_of_each(docs: DataFrame, width: int = 3, distance: int = 2) -> Data
     return docs.join(go, "key", "left_anti").select(*(F.col(f"rest.`{c}`") for c in columns))
 
 
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """node and root (keys; the smallest of a component) of the rows of (key, text) whose sets of `width` words in a row have a
+    Jaccard similarity of `similarity` or more, directly or through others. Fingerprints of such texts differ in up to 17 bits
+    and more, so MinHash bands as in lines find the candidates (at 0.8 with a probability of 0.97), all pairs of a band's
+    bucket meet, and the sets decide. Equal sets are one class. Texts without words are left to the fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in pieces(batch)):
+            sets = []
+            for t in b.column("text").to_pylist():
+                words = (t or "").encode().lower().split()
+                found = {b" ".join(words[i : i + width]) for i in range(max(len(words) - width + 1, 1))} if words else ()
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+
+    rows = docs.select("key", "text").mapInArrow(run, "key long, set array<long>").where("size(set) > 0")
+    rows = written(rows.withColumn("same", F.xxhash64("set")).withColumn("size", F.size("set")))
+    equal = rows.groupBy("same").agg(F.min("key").alias("lid"))
+    sets = written(rows.join(equal, "same").where("key = lid").select("lid", "set", "size"))
+    pairs = [(i, j) for i in range(lines.BAND_HASHES) for j in range(i + 1, lines.BAND_HASHES)]
+    bands = F.array(*(F.expr(f"xxhash64(get(set, {i}), get(set, {j}))") for i, j in pairs))
+    bands = F.when(F.size("set") >= lines.BAND_HASHES, bands).otherwise(F.expr("transform(set, x -> xxhash64(x, 0))"))
+    bucket = Window.partitionBy("band")
+    met = sets.select(F.explode(bands).alias("band"), "lid").withColumn("leader", F.first("lid").over(bucket.orderBy(F.xxhash64("lid", "band"))))
+    met = written(met.where("lid <> leader"))
+    linked = written(lines._linked(met.select(F.col("leader").alias("a"), F.col("lid").alias("b")).distinct(), sets, similarity))
+    roots, _ = lines._rounds(met.select("band", "lid"), linked, sets, similarity)
+    same = rows.join(equal, "same").where("key <> lid").select(F.col("key").alias("a"), F.col("lid").alias("b"))
+    return components(same.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def keep_one_of_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The first row, unchanged, of every component of rows that are near-duplicates by fingerprint or near copies."""
+    columns = docs.columns
+    docs = ordered(docs, rest=True)
+    texts = docs.select("key", "doc_id", "text")
+    prints = near_duplicates(texts).where("not stays").select(F.col("key").alias("a"), F.col("first_key").alias("b"))
+    copies = near_copies(texts, similarity).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    go = written(components(prints.unionByName(copies)).where("node <> root").select(F.col("node").alias("key")))
+    return docs.join(go, "key", "left_anti").select(*(F.col(f"rest.`{c}`") for c in columns))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

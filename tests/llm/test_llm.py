@@ -590,6 +590,27 @@ def test_pipeline_stages(spark, docs, encoding):
     assert corpus_pipeline.run(spark, SF).count() == frame.count()
 
 
+def test_near_copies_go(spark, docs, odd):
+    rnd = random.Random(31)
+    rows = []
+    for _ in range(20):
+        words = [f"{rnd.choice(WORDS)}{rnd.randrange(1000)}" for _ in range(300)]
+        rows.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            for at in rnd.sample(range(300), 4):
+                other[at] = "other"
+            rows.append(" ".join(other))
+    made = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, made, SF).collect()}
+    assert kept >= set(range(0, 80, 4)) and len(kept) <= 21
+    texts = {r.doc_id: r.text.encode().lower().split() for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    kept = [r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()]
+    assert not [1 for i, j in itertools.combinations(kept, 2) if len(sets[i] & sets[j]) >= 0.8 * max(1, len(sets[i] | sets[j]))]
+    assert corpus_pipeline.one_of_each(spark, odd, SF).columns == odd.columns
+
+
 def test_words_against_sql(spark):
     import duckdb
 
