@@ -1,4 +1,4 @@
-"""Substring dedup over bytes by prefix doubling on anchored positions."""
+"""Substring dedup over bytes by grouping windows by the hash of their anchor, in place of prefix doubling."""
 
 from __future__ import annotations
 
