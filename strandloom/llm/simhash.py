@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines
 from .common import components, ordered, pieces, table, written
+from .similar import roots_of, shared_buckets, with_bands
 
 _STEP = 4096  # shingles whose bits are counted at a time
 
@@ -89,8 +89,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 3, distance: int = 2) -> Data
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """node and root (keys; the smallest of a component) of the rows of (key, text) whose sets of `width` words in a row have a
     Jaccard similarity of `similarity` or more, directly or through others. Fingerprints of such texts differ in up to 17 bits
-    and more, so MinHash bands as in lines find the candidates (at 0.8 with a probability of 0.97), all pairs of a band's
-    bucket meet, and the sets decide. Equal sets are one class. Texts without words are left to the fingerprints."""
+    and more, so MinHash bands find the candidates (similar.with_bands: at 0.8 with a probability of 0.97), all pairs of a
+    band's bucket meet, and the sets decide. Equal sets are one class. Texts without words are left to the fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in pieces(batch)):
@@ -105,14 +105,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     rows = written(rows.withColumn("same", F.xxhash64("set")).withColumn("size", F.size("set")))
     equal = rows.groupBy("same").agg(F.min("key").alias("lid"))
     sets = written(rows.join(equal, "same").where("key = lid").select("lid", "set", "size"))
-    pairs = [(i, j) for i in range(lines.BAND_HASHES) for j in range(i + 1, lines.BAND_HASHES)]
-    bands = F.array(*(F.expr(f"xxhash64(get(set, {i}), get(set, {j}))") for i, j in pairs))
-    bands = F.when(F.size("set") >= lines.BAND_HASHES, bands).otherwise(F.expr("transform(set, x -> xxhash64(x, 0))"))
-    bucket = Window.partitionBy("band")
-    met = sets.select(F.explode(bands).alias("band"), "lid").withColumn("leader", F.first("lid").over(bucket.orderBy(F.xxhash64("lid", "band"))))
-    met = written(met.where("lid <> leader"))
-    linked = written(lines._linked(met.select(F.col("leader").alias("a"), F.col("lid").alias("b")).distinct(), sets, similarity))
-    roots, _ = lines._rounds(met.select("band", "lid"), linked, sets, similarity)
+    met = written(shared_buckets(with_bands(sets).select(F.explode("bands").alias("band"), "lid", "size")))
+    roots = roots_of(met, sets, similarity)
     same = rows.join(equal, "same").where("key <> lid").select(F.col("key").alias("a"), F.col("lid").alias("b"))
     return components(same.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
