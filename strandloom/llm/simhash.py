@@ -105,7 +105,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     rows = written(rows.withColumn("same", F.xxhash64("set")).withColumn("size", F.size("set")))
     equal = rows.groupBy("same").agg(F.min("key").alias("lid"))
     sets = written(rows.join(equal, "same").where("key = lid").select("lid", "set", "size"))
-    met = written(shared_buckets(with_bands(sets).select(F.explode("bands").alias("band"), "lid", "size")))
+    met = written(shared_buckets(with_bands(sets)))
     roots = roots_of(met, sets, similarity)
     same = rows.join(equal, "same").where("key <> lid").select(F.col("key").alias("a"), F.col("lid").alias("b"))
     return components(same.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
