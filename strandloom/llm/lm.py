@@ -13,18 +13,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop_written, pieces, table, written
+from .common import crc_mod, pieces, table, written
 
-#: Bits of a filter that is broadcast, at most (32 MB; a larger one stays a table), of a segment, and for each entry; probes of an entry.
-MAX_BITS, SEGMENT_BITS, BITS_AN_ENTRY, PROBES = 1 << 28, 1 << 25, 8, 5
+#: Bits of a filter that is broadcast, at most (32 MB), for each of its entries, and probes of an entry.
+MAX_BITS, BITS_AN_ENTRY, PROBES = 1 << 28, 8, 5
 #: Words of the table of exact counts that is broadcast, at most; rarer words are joined.
 HEAD_WORDS = 100_000
 #: Tokens that a task gathers before it hands them on, and tokens whose n-grams one reduce group gets.
 BLOCK_TOKENS, GROUP_TOKENS, KEPT_HASHES = 400_000, 1_000_000, 100_000
 
 END = b" "  # no word holds a space
-#: An n-gram's key is the upper 48 bits of its hash.
-_KEY = np.uint64(0xFFFFFFFFFFFF0000)
+#: An n-gram's key is the upper 48 bits of its hash, the lowest of them 1 for a pair and 0 for a word.
+_KEY, _PAIR = np.uint64(0xFFFFFFFFFFFE0000), np.uint64(0x10000)
 _START = np.uint64(0x5851F42D4C957F2D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -54,7 +54,7 @@ def ngrams(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     alone = _mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     both = np.empty_like(flat)
     both[1:] = _mix(flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:])
-    return alone[here] & _KEY, both[here] & _KEY
+    return alone[here] & _KEY, both[here] & _KEY | _PAIR
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -71,52 +71,52 @@ def _unpacked(blobs) -> np.ndarray:
 @dataclass
 class Filter:
     """Levels of n-grams: one of level q (count 2^(q-1) to 2^q - 1) is entered q times, as level 1 to q; how many levels
-    answer, one after the other, gives back q, never less. Each segment has the n-grams of one range of keys."""
+    answer, one after the other, gives back q, never less. Each range of keys has a segment of its own, whose size follows from
+    the entries of the range alone; a key is only looked up in its segment."""
 
-    segments: list[np.ndarray | None]
-    bits: int  # of a segment
+    segments: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        sizes = np.array([len(s) for s in self.segments], np.int64)
+        self.base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.mask = (sizes * 8 - 1).astype(np.uint64)
+        self.flat = np.concatenate(self.segments)
+
+    def __getstate__(self):
+        return self.segments
+
+    def __setstate__(self, segments) -> None:
+        self.__init__(segments)
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, bits: int):
+    def places(keys: np.ndarray, level: int, mask):
         g = _mix(keys + np.uint64(level * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
         step = (g >> np.uint64(32)) | np.uint64(1)
         for i in range(PROBES):
-            yield ((g + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
+            yield ((g + np.uint64(i) * step) & mask).astype(np.int64)
 
     @classmethod
-    def segment(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+    def segment(cls, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        bits = _power(max(64, int(levels.sum()) * BITS_AN_ENTRY))
         out = np.zeros(bits, bool)
         for q in range(1, int(levels.max(initial=0)) + 1):
-            for p in cls.places(keys[levels >= q], q, bits):
+            for p in cls.places(keys[levels >= q], q, np.uint64(bits - 1)):
                 out[p] = True
         return np.packbits(out, bitorder="little")
 
-    def __post_init__(self) -> None:
-        self.table = np.zeros((len(self.segments), self.bits // 8), np.uint8)
-        for i, s in enumerate(self.segments):
-            if s is not None:
-                self.table[i] = s
-        self.segments = [None] * len(self.segments)
-        self.flat = self.table.ravel()
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        base = segment_of(keys, len(self.segments)) * (self.bits // 8)
-        alive = np.arange(len(keys))
-        q = 0
+        out = np.zeros(len(keys), np.uint8)
+        own = segment_of(keys, len(self.segments))
+        alive, base, mask, q = np.arange(len(keys)), self.base[own], self.mask[own], 0
         while len(alive):
             q += 1
-            k, at, yes = keys[alive], base[alive], np.ones(len(alive), bool)
-            for p in self.places(k, q, self.bits):
-                yes &= (self.flat[at + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
+            yes = np.ones(len(alive), bool)
+            for p in self.places(keys[alive], q, mask[alive]):
+                yes &= (self.flat[base[alive] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
             alive = alive[yes]
             out[alive] = q
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of each level's range; 0 if no level answers."""
-        return _means(self.levels(keys))
-
 
 def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
     """The range of keys, of n (a power of two)."""
@@ -173,86 +173,127 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def count_filter(docs: DataFrame, n_tokens: int) -> tuple[DataFrame, int, int, float]:
-    """The filter over all tokens and pairs of the texts as a table (segment, bits), how many segments it has, bits of each,
-    and the part of pairs that occur more than once.
+_SETTLED = "block long, range long, data binary, pair int, level int, n long, total long"
+
+
+def settled_ngrams(docs: DataFrame, ranges: int, answer: bool) -> DataFrame:
+    """Tokens and pairs of the rows (row, learn, text), counted over those with learn, as a table of three kinds of rows:
 
-    Tasks count the n-grams of a block and pack them by ranges of keys; a group gets the range's blocks and adds up.
-    Ranges are as many as the corpus needs for groups of a bounded size, segments as many as the n-grams need for segments of
-    a bounded size: nothing is left out.
+    - pair (0 or 1), level, n, total: how many n-grams of a range have the level, and the sum of their counts;
+    - with answer: block, range, data: the levels, a byte each, of the different n-grams of a block (named by its first row;
+      all its texts, learn or not) that fall into the range, in the order of their keys;
+    - without: range, data: the range's segment of the filter.
+
+    Tasks count the n-grams of a block and pack them by ranges of keys; a group gets the range's blocks, adds up, makes
+    the segment and probes it. Ranges are as many as the corpus needs for groups of a bounded size, and a segment has room for
+    whatever its range holds: no n-gram is left out.
     """
-    ranges = _power(2 * n_tokens / GROUP_TOKENS)
 
     def pack(batches):
         hashes = _Hashes()
-        for _, _, flat in _in_blocks(batches, hashes):
-            alone, both = ngrams(flat)
-            keys, n = np.unique(np.concatenate([alone, both]), return_counts=True)
+        for rows, texts, flat in _in_blocks(batches, hashes):
+            sizes = np.array([len(t) for t in texts])
+            learn = np.repeat(np.array([r[1] for r in rows], np.uint64), sizes)
+            k = np.concatenate([x | learn for x in ngrams(flat)])  # the lowest bits of a key are free
+            k.sort()
+            keys = k & (_KEY | _PAIR)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, n = keys[first], np.add.reduceat(k & np.uint64(1), first).astype("<u4")
             at = segment_of(keys, ranges)
             cuts = np.flatnonzero(np.diff(at)) + 1
-            first = np.concatenate([[0], cuts])[: len(keys)]
-            parts = zip(at[first].tolist(), np.split(keys, cuts), np.split(n.astype(np.uint32), cuts))
-            rows = [(r, _packed(k), x.tobytes()) for r, k, x in parts]
-            cols = list(zip(*rows)) or [(), (), ()]
-            # pairs that a block sees once may occur in others: singles are told apart only after the sum
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["range", "keys", "n"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        keys = _unpacked(group["keys"])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in group["n"]]).astype(np.int64)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
+            cols = [(int(r), _packed(a), _planes(b)) for r, a, b in zip(at[np.concatenate([[0], cuts])], np.split(keys, cuts), np.split(n, cuts))]
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(cols), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*cols), (pa.int64(), pa.binary(), pa.binary())))], ["block", "range", "keys", "n"])
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        every = _unpacked(group["keys"])
+        n = np.concatenate([_unplaned(x) for x in group["n"]]).astype(np.int64)
+        order = np.argsort(every)
+        keys = every[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, n = keys[first], np.add.reduceat(n, first)
-        level = np.floor(np.log2(n)).astype(np.int64) + 1
-        return pd.DataFrame({"range": group["range"].iloc[:1], "keys": [_packed(keys)], "levels": [level.astype(np.uint8).tobytes()], "entries": [int(level.sum())], "once": [int((n == 1).sum())], "all": [int(n.sum())]})
+        keys, n = keys[first], np.add.reduceat(n[order], first)
+        keys, n = keys[n > 0], n[n > 0]
+        levels = np.floor(np.log2(n)).astype(np.int64) + 1
+        segment = Filter.segment(keys, levels)
+        kind = ((keys & _PAIR) > 0) * 64 + levels
+        number, total = np.bincount(kind, minlength=128), np.bincount(kind, n, 128)
+        at = np.flatnonzero(number)
+        out = pd.DataFrame({"block": None, "range": None, "data": None, "pair": at // 64, "level": at % 64, "n": number[at], "total": total[at].astype(np.int64)})
+        if answer:
+            ends = np.cumsum([len(x) // 6 for x in group["keys"]])[:-1]
+            own = np.split(Filter([segment]).levels(every), ends)
+            more = pd.DataFrame({"block": group["block"], "range": group["range"], "data": [x.tobytes() for x in own]})
+        else:
+            more = pd.DataFrame({"block": [None], "range": group["range"].iloc[:1], "data": [segment.tobytes()]})
+        return pd.DataFrame({c: list(out[c]) + (list(more[c]) if c in more else [None] * len(more)) for c in out.columns})
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        keys = _unpacked(group["keys"])
-        levels = np.concatenate([np.frombuffer(x, np.uint8) for x in group["levels"]])
-        return pd.DataFrame({"segment": group["segment"].iloc[:1], "bits": [Filter.segment(keys, levels, bits).tobytes()]})
+    packed = docs.select("row", "learn", "text").mapInArrow(pack, "block long, range long, keys binary, n binary")
+    return written(packed.groupBy("range").applyInPandas(settle, _SETTLED))
 
-    packed = docs.select("text").mapInArrow(pack, "range long, keys binary, n binary")
-    added = written(packed.groupBy("range").applyInPandas(add, "range long, keys binary, levels binary, entries long, once long, all long"))
-    entries, once, total = (x or 0 for x in added.agg(F.sum("entries"), F.sum("once"), F.sum("all")).first())
-    n_segments = min(ranges, _power(entries * BITS_AN_ENTRY / SEGMENT_BITS))
-    bits = _power(max(64, entries * BITS_AN_ENTRY / n_segments))
-    by_segment = added.select(F.expr(f"range div {ranges // n_segments}").alias("segment"), "keys", "levels").groupBy("segment")
-    built = written(by_segment.applyInPandas(build, "segment long, bits binary"))
-    drop_written(added)
-    return built, n_segments, bits, 1 - min(once / max(total, 1) * 2, 0.95)
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 4 bytes, byte by byte: mostly small, so that three quarters are long runs of zeros."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-def _answers(asked: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
-    """block, segment and levels (a byte a key) of the keys asked: they go to their segment, no task holds more than one."""
 
-    def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        sieve = Filter([np.frombuffer(own["bits"].iloc[0], np.uint8)] if len(own) else [None], bits)
-        levels = [sieve.levels(_unpacked([k])).astype(np.uint8).tobytes() for k in asks["data"]]
-        return pd.DataFrame({"block": asks["block"], "segment": asks["segment"], "levels": levels})
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
-    return asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInPandas(answer, "block long, segment long, levels binary")
 
+@dataclass
+class Smoothing:
+    """What turns levels into probabilities: for words and pairs the mean count of each level, the part of pairs that are not met
+    once, the texts learnt from, and what words' counts are divided by."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    seen: float
+    texts: float
+    whole: float
 
-def _means(q: np.ndarray) -> np.ndarray:
-    return np.where(q > 0, 1.5 * 2.0 ** (q.astype(np.int64) - 1) - 0.5, 0.0)
+    @classmethod
+    def of(cls, stats, texts: int, whole: int) -> Smoothing:
+        """stats: (pair, level, n, total) of all levels."""
+        means = np.zeros((2, 256))
+        for pair, level, n, total in stats:
+            means[pair, level] = total / n
+        for row in means:  # a level that only wrong answers have, above all that are known
+            top = int(np.flatnonzero(row).max(initial=0))
+            row[top + 1 :] = row[top]
+        once = sum(n for pair, level, n, _ in stats if pair and level == 1)
+        total = sum(t for pair, _, _, t in stats if pair)
+        return cls(means[0], means[1], 1 - min(once / max(total, 1), 0.95), max(float(texts), 1.0), float(whole))
+
+    def scores(self, sizes: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """log10 of each text's probability, from the levels of all its tokens, and of their pairs with the tokens before."""
+        c, c2 = self.words[words], self.pairs[pairs]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        before = np.concatenate([[0.0], c[:-1]])
+        before[starts] = self.texts
+        m = np.where(before > 0, self.seen, 0.0)
+        p = m * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - m) * np.minimum(1, (c + 1) / self.whole)
+        return np.add.reduceat(np.log10(p), starts)
 
 
 def lm_scores(docs: DataFrame, train, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row, learnt from the rows where `train` holds.
 
     base_score is exact: counts of frequent words are broadcast (at most head_words), those of the rest are joined. score
-    is the log10 probability under pairs of words: m * count(v w) / count(v) + (1 - m) * (count(w) + 1) / (N + V + 1), the
-    counts by probes of the filter, m by Good and Turing from pairs seen once; after a word that the filter lacks, m is
-    0. A filter of more than max_bits stays a table, and each block of texts sends its different n-grams to their segments
-    and gets their levels back; the scores are the same. A null text counts as empty: its one token is the end. Rows that repeat are learnt and scored as often as they stand.
-    With no row to learn from, every token has probability 1.
+    is the log10 probability under pairs of words: m * c(v w) / c(v) + (1 - m) * (c(w) + 1) / (N + V + 1). c is the mean
+    count of the level that the filter gives back, so that levels change no sum over the corpus; m is by Good and Turing the part of pairs
+    that are not met once; after a word that the filter lacks, m is 0; a text's first word follows as many texts as were
+    learnt. As levels stand for counts, the probabilities after one word add up to about 1 and not to exactly 1.
+
+    The filter has at most BITS_AN_ENTRY * 2 bits for each n-gram learnt. Where that bound is within max_bits it is broadcast.
+    Otherwise each range of n-grams makes its segment and answers the blocks, whose n-grams come there to be counted;
+    segments and scores are the same. A null text counts as empty: its one token is the end. Rows that repeat are learnt
+    and scored as often as they stand. With no row to learn from, every token has probability 1.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    learn = docs.where("train")
-    counts = written(token_counts(learn))
-    n_train, n_words = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
+    docs = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).cast("int").alias("learn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    counts = written(token_counts(docs.where("learn = 1")))
+    n_train, n_words, n_texts = (x or 0 for x in counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first())
     whole = n_train + n_words + 1
     bins = F.floor(F.log2("c") * 8)
     at_least, room = None, head_words
@@ -262,36 +303,32 @@ def lm_scores(docs: DataFrame, train, max_bits: int = MAX_BITS, head_words: int
             break
         at_least = r["bin"]
     head = {bytes(r.word): math.log10(r.c + 1) for r in counts.where(bins >= at_least).collect()} if at_least is not None else {}
-    segments, n_segments, bits, seen = count_filter(learn, n_train)
+    ranges = _power(2 * n_train / GROUP_TOKENS)
+    small = 2 * (2 * n_train * BITS_AN_ENTRY + 64 * ranges) <= max_bits
+    settled = settled_ngrams(docs if not small else docs.where("learn = 1"), ranges, not small)
+    model = Smoothing.of([tuple(r) for r in settled.where("level is not null").groupBy("pair", "level").agg(F.sum("n"), F.sum("total")).collect()], n_texts, whole)
     sieve = None
-    if n_segments * bits <= max_bits:
-        own: list[np.ndarray | None] = [None] * n_segments
-        for r in segments.collect():
-            own[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-        sieve = Filter(own, bits)
+    if small:
+        own = {r["range"]: np.frombuffer(r["data"], np.uint8) for r in settled.where("range is not null").select("range", "data").collect()}
+        sieve = Filter([own.get(i, np.zeros(8, np.uint8)) for i in range(ranges)])
     shared = spark.sparkContext.broadcast((head, sieve))
 
-    def scored(sizes: np.ndarray, c: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        before = np.concatenate([[0.0], c[:-1]])
-        before[starts] = len_start
-        m = np.where(before > 0, seen, 0.0)
-        p = m * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - m) * np.minimum(1, (c + 1) / whole)
-        return np.add.reduceat(np.log10(p), starts)
-
     def run(batches):
         head, sieve = shared.value
         known, hashes = head.get, _Hashes()
         for rest, texts, flat in _in_blocks(batches, hashes):
-            alone, both = ngrams(flat)
-            words, at = np.unique(alone, return_inverse=True)
-            pairs, at2 = np.unique(both, return_inverse=True)
             sizes = np.array([len(t) for t in texts])
+            score = np.full(len(texts), np.nan)
             if sieve:
-                score = scored(sizes, sieve.counts(words)[at], sieve.counts(pairs)[at2])
+                alone, both = ngrams(flat)
+                words, at = np.unique(alone, return_inverse=True)
+                pairs, at2 = np.unique(both, return_inverse=True)
+                score = model.scores(sizes, sieve.levels(words)[at], sieve.levels(pairs)[at2])
             else:
-                score = np.full(len(texts), np.nan)
-                yield from asks(rest, sizes, words, at, pairs, at2)
+                kinds, at = np.unique(flat, return_inverse=True)
+                parts = np.array([len(texts), len(kinds), len(flat)], "<i8"), np.array([r[0] for r in rest], "<i8"), sizes.astype("<i8"), kinds
+                data = b"".join([*(x.tobytes() for x in parts), _planes(at)])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:-2]), pa.array([rest[0][0]], pa.int64()), pa.array([data], pa.binary())], schema=schema)
             heads, n_heads, rare, n_rare, until = [], [], [], [], [0]
             for t in texts:
                 got = list(map(known, t))
@@ -303,39 +340,30 @@ def lm_scores(docs: DataFrame, train, max_bits: int = MAX_BITS, head_words: int
                 until.append(len(rare))
             tails = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(n_rare, pa.int64())], fields=list(pair)))
             ids = [pa.array(x, pa.int64()) for x in zip(*rest)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(n_heads, pa.int64()), pa.array(heads), pa.array(score), tails, *(pa.nulls(len(texts), f.type) for f in list(schema)[-3:])], schema=schema)
-
-    def asks(rest, sizes, words, at, pairs, at2):
-        """A block's n-grams by segment, in the order of their keys, and (segment -1) its rows, their sizes and their tokens' places among them."""
-        keys = np.union1d(words, pairs)
-        at, at2 = (np.searchsorted(keys, x).astype(np.int32)[i] for x, i in ((words, at), (pairs, at2)))
-        seg = segment_of(keys, n_segments)
-        cuts = np.flatnonzero(np.diff(seg)) + 1
-        block = rest[0][0]
-        info = [np.array([len(rest)], "<i8"), np.array([r[0] for r in rest], "<i8"), sizes.astype("<i8"), at, at2]
-        data = [b"".join(x.tobytes() for x in info), *map(_packed, np.split(keys, cuts))]
-        parts = [-1, *seg[np.concatenate([[0], cuts])].tolist()]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(data), f.type) for f in list(schema)[:-3]), pa.array([block] * len(data), pa.int64()), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(n_heads, pa.int64()), pa.array(heads), pa.array(score), tails, *(pa.nulls(len(texts), f.type) for f in list(schema)[-2:])], schema=schema)
 
     def put_together(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         raw = block["data"].iloc[0]
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        rows, sizes = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
-        at, at2 = np.frombuffer(raw, np.int32, offset=8 + 16 * n).reshape(2, -1)
-        c = _means(np.frombuffer(b"".join(answers.sort_values("segment")["levels"]), np.uint8))
-        return pd.DataFrame({"row": rows, "score": scored(sizes, c[at], c[at2])})
+        n, n_kinds, n_flat = np.frombuffer(raw, "<i8", 3).tolist()
+        rows, sizes = np.frombuffer(raw, "<i8", 2 * n, 24).reshape(2, n)
+        kinds = np.frombuffer(raw, "<u8", n_kinds, 24 + 16 * n)
+        alone, both = ngrams(kinds[_unplaned(raw[24 + 16 * n + 8 * n_kinds :])])
+        del raw, kinds
+        keys, at = np.unique(np.concatenate([alone, both]), return_inverse=True)
+        levels = np.frombuffer(b"".join(answers.sort_values("range")["data"]), np.uint8)
+        if len(levels) != len(keys):
+            raise RuntimeError("a block's rows have changed between two readings of the input")
+        return pd.DataFrame({"row": rows, "score": model.scores(sizes, *np.split(levels[at], [len(alone)]))})
 
     pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pair)), ("block", pa.int64()), ("segment", pa.int64()), ("data", pa.binary())])
-    len_start = float(head.get(END) and round(10 ** head[END] - 1) or 1)
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    both = written(own.mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, head double, score double, tail array<struct<word: binary, n: long>>, block long, segment long, data binary"))
-    rows = both.where("row is not null").drop("block", "segment", "data")
-    if not sieve:
-        sent = both.where("row is null").select("block", "segment", "data")
-        answers = _answers(sent.where("segment >= 0"), segments, bits)
-        scores = sent.where("segment = -1").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(put_together, "row long, score double")
-        rows = rows.drop("score").join(written(scores), "row")
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pair)), ("block", pa.int64()), ("data", pa.binary())])
+    both = written(docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, head double, score double, tail array<struct<word: binary, n: long>>, block long, data binary"))
+    rows = both.where("row is not null").drop("block", "data")
+    if not small:
+        sent = both.where("row is null").select("block", "data")
+        answers = settled.where("block is not null").select("block", "range", "data")
+        scores = written(sent.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(put_together, "row long, score double"))
+        rows = rows.drop("score").join(scores, "row")
     rare = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n").join(counts, "word")
     rare = rare.groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare"))
     found = rows.drop("tail").join(rare, "row", "left").na.fill(0, ["n_rare", "rare"])
