@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import drop_written, ordered, pieces, table, written
 
 #: Words of the shortest tile, and the part of a test item's words that tiles must cover.
 LEAST_MATCH, LEAST_COVER = 5, 0.5
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark takes several passes.
-BLOCK_BYTES = 16_000_000
+#: Bits of the map of seeds that is broadcast: 8 MB, however large the benchmark.
+MAP_BITS = 1 << 26
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_PRIME, _RADIX = (1 << 61) - 1, 1_000_003
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -26,16 +27,31 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LETTERS).split()
 
 
-def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hashes, modulo 2^64, of all runs of `width` ids."""
-    if len(ids) < width:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(ids) - width + 1, np.uint64)
-    spread = (ids.astype(np.uint64) + np.uint64(2)) * np.uint64(0xD6E8FEB86659FD93)
-    spread ^= spread >> np.uint64(29)
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def seeds_of(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` word hashes, as a signed number; runs of another width have others."""
+    if len(words) < width:
+        return np.zeros(0, np.int64)
+    out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
-        out = out * _BASE + spread[i : i + len(out)]
-    return out
+        out = out * np.uint64(_BASE) + words[i : i + len(out)]
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
 def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -71,12 +87,11 @@ def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int,
 def _search(item, text, free_i, free_t, s):
     """Maximal matches of s or more free words, and the longest length; ends early at one of over 2 s."""
     at = defaultdict(list)
-    for p in _starts(free_i, s):
-        at[tuple(item[p : p + s])].append(p) if s < 4 else at[hash(tuple(item[p : p + s]))].append(p)
+    for p, h in _running(item, free_i, s):
+        at[h].append(p)
     found, longest = [], 0
-    for t in _starts(free_t, s) if at else ():
-        key = tuple(text[t : t + s])
-        for p in at.get(key if s < 4 else hash(key), ()):
+    for t, h in _running(text, free_t, s) if at else ():
+        for p in at.get(h, ()):
             if p and t and free_i[p - 1] and free_t[t - 1] and item[p - 1] == text[t - 1]:
                 continue  # part of a match that began earlier
             k = 0
@@ -90,129 +105,141 @@ def _search(item, text, free_i, free_t, s):
     return found, longest
 
 
-def _starts(free: list[bool], s: int):
-    run = 0
-    for i, f in enumerate(free):
-        run = run + 1 if f else 0
-        if run >= s:
-            yield i - s + 1
-
-
-@dataclass
-class Items:
-    """A block of test items: word ids, and for each seed length the sorted hashes of seeds with the items that hold them."""
-
-    ids: list[int]
-    vocabulary: dict[bytes, int]
-    words: list[list[int]]
-    seeds: dict[int, tuple[np.ndarray, list[list[int]]]]
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], least: int) -> Items:
-        vocabulary: dict[bytes, int] = {}
-        words = [[vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)] for _, t in rows]
-        held: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for k, x in enumerate(words):
-            if x:
-                for h in rolling(np.array(x), n := min(least, len(x))).tolist():
-                    held[n][h].add(k)
-        seeds = {n: (np.array(sorted(by), np.uint64), [sorted(by[h]) for h in sorted(by)]) for n, by in held.items()}
-        return cls([i for i, _ in rows], vocabulary, words, seeds)
-
-    def matches(self, text: str | None, least: int, cover: float) -> list[tuple[int, int, int, int]]:
-        """(item_id, its words, those covered by tiles, tiles) of each item that the text covers far enough."""
-        get = self.vocabulary.get
-        doc = np.array([get(w, -1) for w in words_of(text)], np.int64)
-        out = []
-        for n, (hashes, holders) in sorted(self.seeds.items()):
-            if len(doc) < n:
-                continue
-            known = doc >= 0
-            starts = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(known, n).all(1))
-            if not len(starts):
-                continue
-            h = rolling(doc, n)[starts]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[at] == h
-            places: dict[int, list[int]] = defaultdict(list)
-            for s, k in zip(starts[hit].tolist(), at[hit].tolist()):
-                for item in holders[k]:
-                    places[item].append(s)
-            for item, at_item in sorted(places.items()):
-                words = self.words[item]
-                if len(at_item) + n - 1 < cover * len(words) and self._most(at_item, n) < cover * len(words):
-                    continue
-                found = tiles(words, self._near(doc, at_item, n), n)
-                covered = sum(k for _, _, k in found)
-                if covered >= cover * len(words):
-                    out.append((self.ids[item], len(words), covered, len(found)))
-        return out
-
-    @staticmethod
-    def _most(starts: list[int], n: int) -> int:
-        return sum(min(n, b - a) for a, b in zip(starts, starts[1:])) + n
-
-    @staticmethod
-    def _near(doc: np.ndarray, starts: list[int], n: int) -> list[int]:
-        """The words of the text that lie in seeds, with a break wherever others stood between."""
-        out, end = [], None
-        for s in starts:
-            if end is None or s > end:
-                out.append(-1)
-                end = s
-            out += doc[end : s + n].tolist()
-            end = s + n
-        return out
-
-
-def blocks(benchmark: DataFrame, least: int, block_bytes: int = BLOCK_BYTES):
-    """The benchmark's items in blocks of at most block_bytes (a longer item: alone), each read by itself."""
-    rows, size = [], 0
-    for r in benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").orderBy("item_id", "text").toLocalIterator():
-        n = len((r.text or "").encode())
-        if rows and size + n > block_bytes:
-            yield Items.of(rows, least)
-            rows, size = [], 0
-        rows.append((r.item_id, r.text))
-        size += n
-    if rows:
-        yield Items.of(rows, least)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCH, cover: float = LEAST_COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _running(words, free, s):
+    """(start, Karp-Rabin hash) of every run of s free words: the hash runs along, a word comes in and the oldest goes out."""
+    oldest = pow(_RADIX, s - 1, _PRIME)
+    n = h = 0
+    for i, (w, f) in enumerate(zip(words, free)):
+        if not f:
+            n = h = 0
+            continue
+        if n == s:
+            h -= (words[i - s] + 1) * oldest
+        else:
+            n += 1
+        h = (h * _RADIX + w + 1) % _PRIME
+        if n == s:
+            yield i - s + 1, h
+
+
+def tiled(item: np.ndarray, words: np.ndarray, least: int, cover: float) -> tuple[int, int] | None:
+    """(words that tiles cover, tiles), if they cover the part `cover` of the item's words. What lies outside the seeds that item
+    and text share can't be in a tile, and is passed over."""
+    width = min(least, len(item))
+    starts = np.flatnonzero(np.isin(seeds_of(words, width), seeds_of(item, width)))
+    need = cover * len(item)
+    if not len(starts) or np.minimum(np.diff(starts), width).sum() + width < need:
+        return None
+    number: dict[int, int] = {}
+    own = [number.setdefault(w, len(number)) for w in item.tolist()]
+    near, end = [], None
+    for s in starts.tolist():
+        if end is None or s > end:
+            near.append(-1)
+            end = s
+        near += [number.get(w, -1) for w in words[end : s + width].tolist()]
+        end = s + width
+    found = tiles(own, near, width)
+    covered = sum(k for _, _, k in found)
+    return (covered, len(found)) if covered >= need else None
+
+
+def _items(benchmark: DataFrame, least: int) -> DataFrame:
+    """item (a number for each row), item_id, words (hashes) and seeds (distinct) of all items that have words."""
+
+    def run(batches):
+        for b in (x for batch in batches for x in pieces(batch)):
+            words = [hashes_of(t) for t in b.column("text").to_pylist()]
+            seeds = [np.unique(seeds_of(w, min(least, len(w)))) if len(w) else () for w in words]
+            own = pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("item_id"), own, pa.array(seeds, pa.list_(pa.int64()))], ["item", "item_id", "words", "seeds"])
+
+    rows = benchmark.selectExpr("monotonically_increasing_id() item", "cast(item_id as long) item_id", "cast(text as string) text")
+    return written(rows.mapInArrow(run, "item long, item_id long, words array<long>, seeds array<long>").where("size(words) > 0"))
+
+
+def _map_of(seeds: DataFrame) -> np.ndarray:
+    """MAP_BITS bits, of which those of the seeds (column seed) are set; made on the cluster, at most a row for each 64 bits."""
+    bit = F.shiftrightunsigned("seed", 64 - MAP_BITS.bit_length() + 1)
+    rows = seeds.select(F.shiftright(bit, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("bits"))
+    got = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, least: int, cover: float) -> DataFrame:
+    """key, doc_id, item_id, item_words, covered and n_tiles of every pair of a row of docs (key, doc_id, text) and an item that it covers."""
+    items = _items(benchmark, least)
+    seeds = items.select(F.explode("seeds").alias("seed"), "item")
+    widths = [r.n for r in items.select(F.least(F.size("words"), F.lit(least)).alias("n")).distinct().collect()]  # `least` at most
+    shared = docs.sparkSession.sparkContext.broadcast(_map_of(seeds))
+
+    def meet(batches):
+        """Rows that hold seeds of the map: the words in them, a 0 wherever others stand between, and the seeds with how often each occurs."""
+        bits = shared.value
+        shift = np.uint64(64 - MAP_BITS.bit_length() + 1)
+        for b in (x for batch in batches for x in pieces(batch)):
+            rows = []
+            for key, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "text"))):
+                words = hashes_of(text)
+                inside, found = np.zeros(len(words) + 1, np.int64), []
+                for n in widths:
+                    own = seeds_of(words, n)
+                    at = own.view(np.uint64) >> shift
+                    hit = np.flatnonzero(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                    found.append(own[hit])
+                    np.add.at(inside, hit, 1)
+                    np.add.at(inside, hit + n, -1)
+                found, times = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+                if len(found):
+                    take = np.cumsum(inside[:-1]) > 0
+                    first = take & ~np.concatenate([[False], take[:-1]])
+                    near = np.insert(words[take], np.flatnonzero(first[take]), 0).view(np.int64)
+                    rows.append((key, doc_id, near, found, times))
+            kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["key", "doc_id", "near", "seeds", "times"])
+
+    def tile(batches):
+        for b in batches:
+            out = []
+            for key, doc_id, near, item_id, words in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "near", "item_id", "words"))):
+                got = tiled(np.array(words, np.int64).view(np.uint64), np.array(near, np.int64).view(np.uint64), least, cover)
+                if got:
+                    out.append((key, doc_id, item_id, len(words), *got))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [()] * 6], ["key", "doc_id", "item_id", "item_words", "covered", "n_tiles"])
+
+    met = written(docs.select("key", "doc_id", "text").mapInArrow(meet, "key long, doc_id long, near array<long>, seeds array<long>, times array<long>"))
+    hits = met.select("key", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("key", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times"))
+    pairs = hits.join(seeds, "seed").groupBy("key", "item").agg(F.sum("times").alias("n"))
+    # so many seeds can't cover enough
+    enough = pairs.join(items.select("item", "item_id", "words"), "item").where(f"n * least({least}, size(words)) >= {cover} * size(words)")
+    found = enough.drop("n").join(met.select("key", "doc_id", "near"), "key").select("key", "doc_id", "near", "item_id", "words")
+    found = written(found.mapInArrow(tile, "key long, doc_id long, item_id long, item_words long, covered long, n_tiles long"))
+    drop_written(met)
+    drop_written(items)
+    return found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCH, cover: float = LEAST_COVER) -> DataFrame:
     """doc_id, item_id, item_words, covered, n_tiles and coverage of every pair whose tiles, of `least` words or more, cover
     at least the part `cover` of the item, in whatever order they stand in the text.
 
-    Seeds of `least` words (a shorter item: the whole of it) join texts with items; only pairs that share one are tiled.
-    Items without words, and null or empty texts, match nothing. Repeated rows and items each make pairs of their own.
+    Seeds of `least` words (a shorter item: the whole of it) of all texts are held against a map of the items' seeds, whose
+    size is fixed; those it has are joined with the items', and pairs that share enough seeds are tiled. Only a text's words in
+    such seeds move. Items without words, and null or empty texts, match nothing. Repeated rows and items each make
+    pairs of their own.
     """
-    schema = "doc_id long, item_id long, item_words long, covered long, n_tiles long"
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark, least, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches, shared=shared):
-            for b in (x for batch in batches for x in pieces(batch)):
-                rows = [(i, *m) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for m in shared.value.matches(t, least, cover)]
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "item_words", "covered", "n_tiles"])
-
-        out = out.unionByName(own.mapInArrow(run, schema))
-    return out.withColumn("coverage", F.col("covered") / F.col("item_words"))
+    found = _contaminated(ordered(docs), benchmark, least, cover)
+    return found.drop("key").withColumn("coverage", F.col("covered") / F.col("item_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCH, cover: float = LEAST_COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCH, cover: float = LEAST_COVER) -> DataFrame:
     """The rows, unchanged and with all their columns, that cover no test item so far."""
-    for items in blocks(benchmark, least, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches, shared=shared):
-            for b in (x for batch in batches for x in pieces(batch)):
-                yield b.filter(pa.array([not shared.value.matches(t, least, cover) for t in b.column("text").to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    columns = docs.columns
+    docs = ordered(docs, rest=True)
+    go = written(_contaminated(docs, benchmark, least, cover).select("key").distinct())
+    return docs.join(go, "key", "left_anti").select(*(F.col(f"rest.`{c}`") for c in columns))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
