@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import drop_written, scratch, table, written
 
 #: Query vectors of a block on average, and vectors that are multiplied at once.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 512
 
 
-def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products, by floating point where it can't round."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
-        return np.rint(q.astype(float) @ x.astype(float).T).astype(np.int64)
-    return q @ x.T
+def _product(q: np.ndarray, x: np.ndarray, wide: bool) -> np.ndarray:
+    """Exact integer products: by floating point where it can't round, and by Python's numbers where 64 bits may not hold them."""
+    if q.size and x.size and float(np.abs(q.astype(float)).max()) * float(np.abs(x.astype(float)).max()) * q.shape[1] < 2**53:
+        return np.rint(q.astype(float) @ x.astype(float).T).astype(object if wide else np.int64)
+    return q.astype(object) @ x.astype(object).T if wide else q @ x.T
 
 
 def _padded(vectors, width: int) -> np.ndarray:
@@ -29,11 +32,11 @@ def _padded(vectors, width: int) -> np.ndarray:
 
 def scaled(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id and v: floor(scale * x) of each component. Rows whose id or vector is null, or that hold a null, NaN or
-    infinite component, are left out."""
+    infinite component, are left out. A component whose floor no long holds is an error."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(fine, F.lit(False))).select(
-        "vec_id", F.transform(F.col("x"), lambda c: F.floor(c * scale)).alias("v")
+        "vec_id", F.transform(F.col("x"), lambda c: F.floor(F.when(F.abs(c * scale) < 2.0**63, c * scale).otherwise(F.raise_error(F.lit("a component that no long holds")).cast("double")))).alias("v")
     )
 
 
@@ -48,7 +51,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, lists: int = 2, block: int
     all lists is summed, the missing parts of the rest are computed, and totals below t go.
 
     Equal vectors are one class, with its k + 1 smallest ids: more can't be in an answer. Shorter vectors count as if
-    padded with zeros. Queries of equal vectors are searched once.
+    padded with zeros. Queries of equal vectors are searched once. What a block has found is written before the next
+    begins. Where components are so large that 64 bits may not hold a sum, sums are decimals of 38 digits; a score of an answer
+    that no long holds is an error.
     """
     spark = vectors.sparkSession
     first = Window.partitionBy("v").orderBy("vec_id")
@@ -56,16 +61,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, lists: int = 2, block: int
     few = vectors.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     classes = written(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.monotonically_increasing_id()))
     asked = written(vectors.where(is_query).select("v", F.col("vec_id").alias("query_id")).distinct().join(classes.select("v", "cid"), "v").select("query_id", "cid"))
-    counts = classes.agg(F.max(F.size("v"))).crossJoin(asked.agg(F.countDistinct("cid"))).first()
-    width, n_queries = max(counts[0] or 0, 1), counts[1]
+    most = classes.agg(F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    width, n_queries = max(most[0] or 0, 1), asked.select("cid").distinct().count()
+    wide = max(most[1] or 0, -(most[2] or 0)) ** 2 * width >= 2**62
+    number = "decimal(38,0)" if wide else "long"
+    as_column = (lambda x: [Decimal(int(i)) for i in x]) if wide else (lambda x: x)
     step = -(-width // lists)
     parts = F.expr(f"inline(transform(sequence(0, {lists - 1}), p -> struct(p as part, slice(v, p * {step} + 1, {step}) as piece)))")
     slices = written(classes.select("cid", parts))
     n_blocks = max(1, -(-n_queries // block))
     searched = written(asked.select("cid").distinct().join(classes.select("cid", "v"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(n_blocks))))
 
-    exact = F.expr("aggregate(zip_with(qv, v, (a, b) -> coalesce(a * b, 0L)), 0L, (s, x) -> s + x)")
-    out = None
+    one = "cast(%s as decimal(19,0))" if wide else "%s"
+    exact = F.expr(f"aggregate(zip_with(qv, v, (a, b) -> cast(coalesce({one % 'a'} * {one % 'b'}, 0) as {number})), cast(0 as {number}), (s, x) -> cast(s + x as {number}))")
+    found_in = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    found_schema = f"q long, cid long, score {number}"
+    spark.createDataFrame([], found_schema).write.parquet(found_in)
     for b in range(n_blocks):
         queries = searched.where(F.col("block") == b).select(F.col("cid").alias("q"), F.col("v").alias("qv"))
         rows = queries.collect()  # about `block` vectors
@@ -78,7 +89,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, lists: int = 2, block: int
         def highest(batches, shared=shared):
             q_ids, pieces = shared.value
             best = {}  # part -> ids and scores of the best so far, by query
-            for part, ids, scores in _products(batches, pieces, step):
+            for part, ids, scores in _products(batches, pieces, step, wide):
                 ids = np.broadcast_to(ids, scores.shape)
                 if part in best:
                     ids, scores = np.hstack([best[part][0], ids]), np.hstack([best[part][1], scores])
@@ -88,45 +99,45 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, lists: int = 2, block: int
                 best[part] = ids, scores
             for part, (ids, scores) in best.items():
                 n = ids.shape[1]
-                yield pd.DataFrame({"q": np.repeat(q_ids, n), "part": part, "cid": ids.ravel(), "score": scores.ravel()})
+                yield pd.DataFrame({"q": np.repeat(q_ids, n), "part": part, "cid": ids.ravel(), "score": as_column(scores.ravel())})
 
-        entry = "q long, part int, cid long, score long"
+        entry = f"q long, part int, cid long, score {number}"
         leaders = Window.partitionBy("q", "part").orderBy(F.desc("score"), "cid")
         named = slices.mapInPandas(highest, entry).withColumn("n", F.row_number().over(leaders)).where(F.col("n") <= k + 1).select("q", "cid").distinct()
         totals = named.join(classes.select("cid", "v"), "cid").join(queries, "q").select("q", "cid", exact.alias("score"))
         ranked = totals.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"))))
-        cutoffs = dict(map(tuple, ranked.where(F.col("n") == k + 1).select("q", "score").collect()))
-        least = spark.sparkContext.broadcast(np.array([cutoffs.get(q, -(2**62)) for q in q_ids.tolist()], np.int64))
+        cutoffs = {q: int(t) for q, t in ranked.where(F.col("n") == k + 1).select("q", "score").collect()}
+        least = spark.sparkContext.broadcast(np.array([cutoffs.get(q, -(10**37) if wide else -(2**62)) for q in q_ids.tolist()], object if wide else np.int64))
 
         def sufficient(batches, shared=shared, least=least):
             q_ids, pieces = shared.value
             floor = -(-least.value // lists)[:, None]  # in whole numbers, part * lists >= t
-            for part, ids, scores in _products(batches, pieces, step):
+            for part, ids, scores in _products(batches, pieces, step, wide):
                 i, j = np.nonzero(scores >= floor)
-                yield pd.DataFrame({"q": q_ids[i], "part": part, "cid": ids[j], "score": scores[i, j]})
+                yield pd.DataFrame({"q": q_ids[i], "part": part, "cid": ids[j], "score": as_column(scores[i, j])})
 
-        came = slices.mapInPandas(sufficient, entry).groupBy("q", "cid").agg(F.sum("score").alias("sum"), F.count("*").alias("n"))
+        came = slices.mapInPandas(sufficient, entry).groupBy("q", "cid").agg(F.sum("score").cast(number).alias("sum"), F.count("*").alias("n"))
         came = written(came)
         summed = came.where(F.col("n") == lists).select("q", "cid", F.col("sum").alias("score"))
         rest = came.where(F.col("n") < lists).join(classes.select("cid", "v"), "cid").join(queries, "q").select("q", "cid", exact.alias("score"))
-        cut = spark.createDataFrame([(q, t) for q, t in cutoffs.items()], "q long, least long")
+        cut = spark.createDataFrame([(q, Decimal(t) if wide else t) for q, t in cutoffs.items()], f"q long, least {number}")
         found = summed.unionByName(rest).join(F.broadcast(cut), "q", "left").where("least is null or score >= least").select("q", "cid", "score")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        found.write.mode("append").parquet(found_in)
+        drop_written(came)
+    out = spark.read.schema(found_schema).parquet(found_in)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ids = out.join(classes.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     own = asked.withColumnRenamed("cid", "q").join(written(ids.drop("n")), "q").where("vec_id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return own.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return own.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
-def _products(batches, pieces: list[np.ndarray], step: int):
+def _products(batches, pieces: list[np.ndarray], step: int, wide: bool):
     for b in batches:
         for part, group in b.groupby("part"):
             for i in range(0, len(group), VECTOR_BLOCK):
                 some = group.iloc[i : i + VECTOR_BLOCK]
-                yield int(part), some["cid"].to_numpy(np.int64), _product(pieces[int(part)], _padded(some["piece"].tolist(), step))
+                yield int(part), some["cid"].to_numpy(np.int64), _product(pieces[int(part)], _padded(some["piece"].tolist(), step), wide)
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
