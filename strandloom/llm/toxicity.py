@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import string
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -23,6 +24,24 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "queer"),
     ("immigrants", "refugees", "citizens", "foreigners"),
     ("old", "young", "elderly", "disabled", "blind", "deaf"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
 )
 #: Rows of each label that fit() takes at most, and the most features it keeps.
 MAX_ROWS_OF_A_LABEL, MAX_FEATURES, LEAST_CHI2, PREFIXES = 2000, 8192, 12.0, (4, 5)
@@ -122,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_OF_A_LABEL,
     ids = [known.where(F.col("label_toxic") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows) for k in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for x in ids for r in x.collect()], "label_id long, label_toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("label_text"))
-    words = F.array_distinct(F.split(F.lower(F.coalesce("label_text", F.lit(""))), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"))
+    small = F.translate(F.coalesce("label_text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)  # as words_of has it
+    words = F.array_distinct(F.split(small, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"))
     found = texts.join(F.broadcast(ids), "label_id").select("label_id", "label_toxic", F.xxhash64("label_text").alias("h"), words.alias("words"))
     one: dict[bytes, bytes] = {}  # each word's bytes once, however many rows hold it
     rows = [(r.label_id, r.h, r.label_toxic, {one.setdefault(w, w) for w in words_of(" ".join(r.words))}) for r in found.toLocalIterator()]
