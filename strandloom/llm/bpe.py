@@ -1,4 +1,4 @@
-"""Byte-level BPE by replaying the merges over a vocabulary of words."""
+"""Byte-level BPE by replaying the merges over the corpus's words."""
 
 from __future__ import annotations
 
@@ -8,14 +8,17 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import pieces, table, written
 
-#: Characters of text whose words are replayed together, and words that a task remembers from block to block.
-BLOCK_CHARS, KEPT_WORDS = 6_000_000, 250_000
+#: Characters of text that are numbered together, and words that are replayed together.
+BLOCK_CHARS, REPLAYED_WORDS = 20_000_000, 200_000
 _LOADED: dict[tuple[str, str], MergeReplay] = {}
 
 
@@ -137,72 +140,98 @@ def loaded(path: str, pattern: str) -> MergeReplay:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row (with_ids: and ids), in one pass without a shuffle.
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row (with_ids: and ids).
 
-    The corpus is replayed in blocks of whole texts, each over its distinct words, so that a task's memory is bounded and
-    a word costs one replay a block, however often it occurs. A null or empty text has no tokens. A text longer than a
-    block makes a block by itself. Rows that repeat are encoded alike; other columns are not read.
+    Every different word of the corpus is replayed once. Tasks turn blocks of whole texts into numbers, and hand on a block's
+    words and its texts' numbers; the words of all blocks are made distinct and replayed; their ids go back to the blocks
+    that have them, where texts are put together. Blocks are bounded by their characters, so that a task's memory is, and a word
+    comes from a block once, however common. A null or empty text has no tokens. A text longer than a block makes a
+    block by itself. Rows that repeat are encoded alike; other columns are not read.
     """
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = loaded(path, pattern), _Words()
-        for doc_ids, texts in _blocks(batches, lambda t: np.fromiter(map(known.__getitem__, bpe.words(t)), np.int32)):
-            known.encode(bpe)
-            size, ids, decoded = np.array(known.size, np.int64), known.ids, known.bytes
-            n, joined, raw = [], [], []
-            for words in texts:
-                n.append(int(size[words].sum()))
-                joined.append(",".join([ids[w] for w in words.tolist()]))
-                raw.append(hashlib.sha256(b"".join([decoded[w] for w in words.tolist()])).hexdigest())
-            cols = [doc_ids, n, [hashlib.sha256(x.encode()).hexdigest() for x in joined], raw] + [[[int(i) for i in x.split(",") if i] for x in joined]] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [f for f, _ in fields])
-            if len(known) > KEPT_WORDS:
-                known.forget()
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = loaded(path, pattern).words
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
+        for rows, texts, words in _blocks(batches, split):
+            order = np.argsort(-np.bincount(np.concatenate(texts), minlength=len(words)), kind="stable")  # common words get small numbers
+            number = np.empty(len(words), np.uint32)
+            number[order] = np.arange(len(words))
+            packed, n = [_packed(number[t]) for t in texts], len(rows)
+            cols = [[rows[0][0]] * (n + 1), [None, *(r[1] for r in rows)], [None, *packed], [[words[i].encode() for i in order.tolist()], *[None] * n]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["block", "doc_id", "numbers", "words"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, words = loaded(path, pattern), []
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([np.array(x, "<i4").tobytes() for x in bpe.encode_words(words)], pa.binary())], ["word", "ids"])
+
+        for b in batches:
+            words += b.column("word").to_pylist()
+            if len(words) >= REPLAYED_WORDS:
+                yield done()
+                words = []
+        if words:
+            yield done()
+
+    def put_together(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        bpe = loaded(path, pattern)
+        ids = [np.frombuffer(x, "<i4").tolist() for x in words.sort_values("place")["ids"]]
+        size = np.array([len(x) for x in ids], np.int64)
+        joined, decoded = [",".join(map(str, x)) for x in ids], [bpe.decode(x) for x in ids]
+        out = {name: [] for name in names}
+        for doc_id, blob in zip(texts["doc_id"], texts["numbers"]):
+            t = _unpacked(blob)
+            own = t.tolist()
+            out["doc_id"].append(None if doc_id is None else int(doc_id))  # as text: pandas has no whole numbers beside nulls
+            out["n_tokens"].append(int(size[t].sum()))
+            out["ids_sha256"].append(hashlib.sha256(",".join([joined[w] for w in own]).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[w] for w in own])).hexdigest())
+            if with_ids:
+                out["ids"].append([i for w in own for i in ids[w]])
+        return pd.DataFrame(out).astype({"doc_id": "Int64"})
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").mapInArrow(run, schema)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    blocks = written(rows.mapInArrow(cut, "block long, doc_id long, numbers binary, words array<binary>"))
+    texts, vocabulary = blocks.where("words is null").select("block", F.col("doc_id").cast("string").alias("doc_id"), "numbers"), blocks.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
+    encoded = written(vocabulary.select("word").distinct().mapInArrow(replay, "word binary, ids binary"))
+    back = vocabulary.join(encoded, "word").select(F.col("block").alias("of"), "place", "ids")
+    return texts.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(put_together, schema)
 
 
-class _Words(dict):
-    """Numbers of words, and by number what their encoding comes to; words are numbered when they are first looked up."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed: the upper bytes are mostly zero."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
 
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-        self.size: list[int] = []
-        self.ids: list[str] = []
-        self.bytes: list[bytes] = []
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+class _Words(dict):
+    """Numbers of words, in the order in which they are first looked up."""
 
     def __missing__(self, word: str) -> int:
-        self.fresh.append(word)
         n = self[word] = len(self)
         return n
 
-    def encode(self, bpe: MergeReplay) -> None:
-        for ids in bpe.encode_words([w.encode() for w in self.fresh]):
-            self.size.append(len(ids))
-            self.ids.append(",".join(map(str, ids)))
-            self.bytes.append(bpe.decode(ids))
-        self.fresh = []
-
-    def forget(self) -> None:
-        self.clear()
-        self.__init__()
-
 
-def _blocks(batches: Iterator[pa.RecordBatch], split) -> Iterator[tuple[list, list]]:
-    """Ids and split texts, some BLOCK_CHARS at a time."""
-    ids, texts, size = [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], split) -> Iterator[tuple[list, list, list]]:
+    """Rows (row, doc_id), their texts as numbers of words, and the words, some BLOCK_CHARS at a time."""
+    rows, texts, size, known = [], [], 0, _Words()
     for b in (x for batch in batches for x in pieces(batch)):
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            ids.append(i)
-            texts.append(split(t))
+        for row, i, t in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+            rows.append((row, i))
+            texts.append(np.fromiter(map(known.__getitem__, split(t)), np.int32))
             size += len(t)
             if size >= BLOCK_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                yield rows, texts, list(known)
+                rows, texts, size, known = [], [], 0, _Words()
+    if rows:
+        yield rows, texts, list(known)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
