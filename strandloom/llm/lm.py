@@ -39,22 +39,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
+class _Numbers(dict):
+    """Numbers of words, in the order in which they are first looked up."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_HASHES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        n = self[word] = len(self)
+        return n
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
 
+def ngrams(hashes: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each token alone, and of each with the one before it in its text (_START before the first). tokens are numbers of
+    words, whose hashes are given, of texts of the given sizes."""
+    alone = (_mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & _KEY)[tokens]
+    here = hashes[tokens]
+    before = np.empty_like(here)
+    before[1:] = here[:-1]
+    before[_starts(sizes)] = _START
+    return alone, _mix(before * np.uint64(0x9E3779B97F4A7C15) + here) & _KEY | _PAIR
 
-def ngrams(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each token alone, and of each with the one before it, in a row of tokens' hashes in which _START stands
-    before each text; both leave out the _START."""
-    here = flat != _START
-    alone = _mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    both = np.empty_like(flat)
-    both[1:] = _mix(flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:])
-    return alone[here] & _KEY, both[here] & _KEY | _PAIR
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -127,31 +136,22 @@ def _power(x: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(x, 1))))
 
 
-def _in_blocks(batches, hashes: _Hashes):
-    """(rows' other columns, token lists, hashes of all tokens with _START before each text), some BLOCK_TOKENS at a time."""
-    rest, texts, n = [], [], 0
+def _in_blocks(batches):
+    """(rows' other columns, sizes of the texts in tokens, all tokens as numbers of words, the words), some BLOCK_TOKENS at a time. A text
+    has a token at least, its end."""
+    rest, texts, n, known = [], [], 0, _Numbers()
     for b in (x for batch in batches for x in pieces(batch)):
         names = [c for c in b.schema.names if c != "text"]
-        for row, text in zip(zip(*(b.column(c).to_pylist() for c in names)) if names else [()] * b.num_rows, b.column("text").to_pylist()):
+        for row, text in zip(zip(*(b.column(c).to_pylist() for c in names)), b.column("text").to_pylist()):
             words = tokens_of(text)
             rest.append(row)
-            texts.append(words)
+            texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             n += len(words)
             if n >= BLOCK_TOKENS:
-                yield rest, texts, _flat(texts, hashes)
-                rest, texts, n = [], [], 0
+                yield rest, np.array([len(t) for t in texts]), np.concatenate(texts), list(known)
+                rest, texts, n, known = [], [], 0, _Numbers()
     if rest:
-        yield rest, texts, _flat(texts, hashes)
-
-
-def _flat(texts: list[list[bytes]], hashes: _Hashes) -> np.ndarray:
-    out = np.empty(sum(map(len, texts)) + len(texts), np.uint64)
-    at = 0
-    for words in texts:
-        out[at] = _START
-        out[at + 1 : at + 1 + len(words)] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        at += 1 + len(words)
-    return out
+        yield rest, np.array([len(t) for t in texts]), np.concatenate(texts), list(known)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -190,11 +190,9 @@ def settled_ngrams(docs: DataFrame, ranges: int, answer: bool) -> DataFrame:
     """
 
     def pack(batches):
-        hashes = _Hashes()
-        for rows, texts, flat in _in_blocks(batches, hashes):
-            sizes = np.array([len(t) for t in texts])
+        for rows, sizes, tokens, words in _in_blocks(batches):
             learn = np.repeat(np.array([r[1] for r in rows], np.uint64), sizes)
-            k = np.concatenate([x | learn for x in ngrams(flat)])  # the lowest bits of a key are free
+            k = np.concatenate([x | learn for x in ngrams(hashes_of(words), tokens, sizes)])  # the lowest bits of a key are free
             k.sort()
             keys = k & (_KEY | _PAIR)
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -266,7 +264,7 @@ class Smoothing:
     def scores(self, sizes: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """log10 of each text's probability, from the levels of all its tokens, and of their pairs with the tokens before."""
         c, c2 = self.words[words], self.pairs[pairs]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        starts = _starts(sizes)
         before = np.concatenate([[0.0], c[:-1]])
         before[starts] = self.texts
         m = np.where(before > 0, self.seen, 0.0)
@@ -315,40 +313,37 @@ def lm_scores(docs: DataFrame, train, max_bits: int = MAX_BITS, head_words: int
 
     def run(batches):
         head, sieve = shared.value
-        known, hashes = head.get, _Hashes()
-        for rest, texts, flat in _in_blocks(batches, hashes):
-            sizes = np.array([len(t) for t in texts])
-            score = np.full(len(texts), np.nan)
+        for rest, sizes, tokens, words in _in_blocks(batches):
+            score, starts, hashes = np.full(len(sizes), np.nan), _starts(sizes), hashes_of(words)
             if sieve:
-                alone, both = ngrams(flat)
-                words, at = np.unique(alone, return_inverse=True)
-                pairs, at2 = np.unique(both, return_inverse=True)
-                score = model.scores(sizes, sieve.levels(words)[at], sieve.levels(pairs)[at2])
+                alone, both = ngrams(hashes, tokens, sizes)
+                kinds, at = np.unique(both, return_inverse=True)
+                _, first = np.unique(tokens, return_index=True)  # every word occurs
+                score = model.scores(sizes, sieve.levels(alone[first])[tokens], sieve.levels(kinds)[at])
             else:
-                kinds, at = np.unique(flat, return_inverse=True)
-                parts = np.array([len(texts), len(kinds), len(flat)], "<i8"), np.array([r[0] for r in rest], "<i8"), sizes.astype("<i8"), kinds
-                data = b"".join([*(x.tobytes() for x in parts), _planes(at)])
+                parts = np.array([len(sizes), len(words)], "<i8"), np.array([r[0] for r in rest], "<i8"), sizes.astype("<i8"), hashes
+                data = b"".join([*(x.tobytes() for x in parts), _planes(tokens)])
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:-2]), pa.array([rest[0][0]], pa.int64()), pa.array([data], pa.binary())], schema=schema)
-            heads, n_heads, rare, n_rare, until = [], [], [], [], [0]
-            for t in texts:
-                got = list(map(known, t))
-                tail = Counter(w for w, g in zip(t, got) if g is None)
-                heads.append(math.fsum(g for g in got if g is not None))
-                n_heads.append(len(t) - tail.total())
-                rare += tail.keys()
-                n_rare += tail.values()
-                until.append(len(rare))
-            tails = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(n_rare, pa.int64())], fields=list(pair)))
+            logs = np.array([head.get(w, np.nan) for w in words])[tokens]
+            rare = np.isnan(logs)
+            n_heads = np.add.reduceat(~rare, starts, dtype=np.int64)
+            heads = np.add.reduceat(np.where(rare, 0.0, logs), starts)
+            # a text's rare words, each once, with how often it occurs
+            text = np.repeat(np.arange(len(sizes)), sizes)[rare]
+            pairs, n_rare = np.unique(text * np.int64(len(words)) + tokens[rare], return_counts=True)
+            until = np.searchsorted(pairs // len(words), np.arange(len(sizes) + 1))
+            found = pa.array([words[i] for i in (pairs % len(words)).tolist()], pa.binary())
+            tails = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.StructArray.from_arrays([found, pa.array(n_rare, pa.int64())], fields=list(pair)))
             ids = [pa.array(x, pa.int64()) for x in zip(*rest)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(n_heads, pa.int64()), pa.array(heads), pa.array(score), tails, *(pa.nulls(len(texts), f.type) for f in list(schema)[-2:])], schema=schema)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(n_heads, pa.int64()), pa.array(heads), pa.array(score), tails, *(pa.nulls(len(sizes), f.type) for f in list(schema)[-2:])], schema=schema)
 
     def put_together(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         raw = block["data"].iloc[0]
-        n, n_kinds, n_flat = np.frombuffer(raw, "<i8", 3).tolist()
-        rows, sizes = np.frombuffer(raw, "<i8", 2 * n, 24).reshape(2, n)
-        kinds = np.frombuffer(raw, "<u8", n_kinds, 24 + 16 * n)
-        alone, both = ngrams(kinds[_unplaned(raw[24 + 16 * n + 8 * n_kinds :])])
-        del raw, kinds
+        n, n_words = np.frombuffer(raw, "<i8", 2).tolist()
+        rows, sizes = np.frombuffer(raw, "<i8", 2 * n, 16).reshape(2, n)
+        hashes = np.frombuffer(raw, "<u8", n_words, 16 + 16 * n)
+        alone, both = ngrams(hashes, _unplaned(raw[16 + 16 * n + 8 * n_words :]), sizes)
+        del raw, hashes
         keys, at = np.unique(np.concatenate([alone, both]), return_inverse=True)
         levels = np.frombuffer(b"".join(answers.sort_values("range")["data"]), np.uint8)
         if len(levels) != len(keys):
