@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests.
+#: Used only where spark.checkpoint.dir is unset and one machine does all the work, as in tests.
 OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
 _SCRATCH: set[str] = set()
+#: Seconds between two releases of shuffle files, at least.
+RELEASE_S = 5.0
+_RELEASED = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir; it is deleted when the session's process ends."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or OWN_CHECKPOINT_DIR
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = OWN_CHECKPOINT_DIR
     root = f"{base.rstrip('/')}/strandloom-{sc.applicationId}"
     if root not in _SCRATCH:
         _SCRATCH.add(root)
@@ -46,8 +54,11 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    gc.collect()  # what made the table can go: its shuffle files stay until the driver's JVM has collected their owners
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _RELEASED[0] > RELEASE_S:
+        # what made the tables can go: its shuffle files stay until the driver's JVM has collected their owners
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _RELEASED[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
