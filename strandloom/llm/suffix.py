@@ -22,12 +22,10 @@ def byte_units(text: str) -> np.ndarray:
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (with_text: and kept, the remaining bytes) of every row.
 
-    Prefix doubling ranks positions by ever longer prefixes and drops those whose rank is unique. Here it begins at half
-    the threshold, and not at every position: any `threshold` bytes hold an anchor, a place chosen by content alone, and
-    the first sort ranks only anchors, by the threshold // 2 bytes that follow. Positions all of whose windows hang
-    on an anchor of unique rank drop out. Among the rest, runs of positions with equal text are settled as a whole. What is
-    left is ranked by pairs - the rank of its first half and the rank at the doubled offset, of the other half - sorted
-    again, and is then past the threshold: equal ranks are equal strings of `threshold` bytes.
+    Windows of `threshold` bytes are grouped by the hash of their anchor, a place within them that is chosen by content alone
+    (paths.repeated): windows whose anchor's seed, threshold // 2 bytes, is met once are unique. Runs of windows with
+    equal text are settled as a whole. What is left is told apart by two hashes, of a window's first half and of the other. No
+    ranks are made and none sorted in rounds: this takes the place of prefix doubling (README, with figures).
 
     A null text has no bytes, and a shorter text than the threshold keeps all. Rows that repeat are texts of their own.
     """
