@@ -153,6 +153,19 @@ def test_topk(spark):
     assert topk.top_k(topk.scaled(df.limit(0)), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_large_and_repeated_vectors(spark):
+    """Sums beyond 64 bits on the way, ids that repeat, and columns whose names clash."""
+    rows = [(0, [1e8, -1e8, 3.0], 1), (1, [1e8, 1e8, 2.0], 2), (2, [0.5, 0.25, 1.0], 3), (2, [0.5, 0.25, 2.0], 4), (3, [1e5, -2e5, -1.0], 5), (100, [0.001, 0.002, -0.5], 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    scaled = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows]
+    small = df.where("vec_id <> 0 and vec_id <> 1")
+    got = topk.top_k(topk.scaled(small), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == best([r for r in scaled if r[0] not in (0, 1)], 10)
+    wide = topk.top_k(topk.scaled(df.where("vec_id <> 1")), F.col("vec_id") == 100, 2).select("rank", "vec_id", "score").collect()
+    want = sorted((-sum(a * b for a, b in zip(scaled[-1][1], w)), c) for c, w in scaled if c not in (1, 100))[:2]
+    assert sorted((r.rank, r.vec_id, r.score) for r in wide) == [(n, c, -x) for n, (x, c) in enumerate(want, 1)]
+
+
 def test_topk_against_sql(spark):
     import duckdb
 
@@ -197,6 +210,43 @@ def test_swapped_terms_score_alike():
     assert gaps[1] < 0.2 * gaps[0]
 
 
+def test_one_lower_casing(spark):
+    """A word is learnt as it is scored, also where it begins with a capital beyond A to Z."""
+    rows = [(i, f"{prose(random.Random(i), 8)} {'École Über-Müll' if i % 2 else 'Ökonomie'}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert set(model.weights) <= {f for _, t in rows for f in toxicity.features_of(toxicity.words_of(t))}
+    assert model.score("École Über-Müll") > 0.7 > model.score("Ökonomie")
+
+
+def test_fit_finds_the_least_loss():
+    """The loss of the fitted weights against that of plain gradient descent over a dense table."""
+    rnd = random.Random(12)
+    texts, labels = [], []
+    for i in range(120):
+        y = i % 2
+        who = rnd.choice(["muslims", "christians"] if rnd.random() < 0.5 else ["stone", "river"])
+        texts.append(toxicity.words_of(f"{rnd.choice(WORDS)} {rnd.choice(WORDS)} {who} {'trash' if y and rnd.random() < 0.8 else 'people'}"))
+        labels.append(y)
+    model = toxicity.fit_sets(texts, labels, 5.0, 1e-2, steps=2000)
+    names = sorted(model.weights)
+    x = np.array([[f in toxicity.features_of(t) for f in names] for t in texts], float)
+    other = [(i, o) for i, t in enumerate(texts) for o in toxicity.counterfactuals(t)]
+    d = np.array([[(f in toxicity.features_of(o)) - x[i, k] for k, f in enumerate(names)] for i, o in other], float)
+    y = np.array(labels)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def loss(w, b):
+        z = x @ w + b
+        return (share * (np.logaddexp(0, z) - y * z)).sum() + 5.0 * ((d @ w) ** 2).mean() + 1e-2 / 2 * (w**2).sum()
+
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(20_000):
+        off = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.05 * (x.T @ off + 10.0 / len(d) * d.T @ (d @ w) + 1e-2 * w), b - 0.05 * off.sum()
+    assert len(d) > 20 and abs(loss(np.array([model.weights[f] for f in names]), model.bias) - loss(w, b)) < 2e-3
+
+
 def test_toxicity_on_odd_tables(spark, odd, docs):
     known = spark.createDataFrame([(5, 0, 1), (6, None, None), (None, 1, 1), (7, 0, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, known)
@@ -399,16 +449,37 @@ def test_short_windows_against_brute_force(spark, some):
     assert sorted(map(tuple, suffix.without_repeats(df, 4).collect())) == bytes_by_force(rows, 4)
 
 
-def test_blocks_and_pieces_change_nothing(spark, monkeypatch):
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Texts cut into pieces have the same windows, and edges summed up in blocks of a few texts the same repeats."""
     rows = list(enumerate(tangle(2, 8)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     units = [debruijn.word_units(t) for _, t in rows]
-    whole = [list(map(tuple, np.array(paths.paths(u, 20, 6)[2:]).T)) for u in units]
+    whole = [paths.paths(u, 20, 6)[3].sum() for u in units]
     monkeypatch.setattr(paths, "MOST_UNITS", 37)
-    for u, w in zip(units, whole):
+    for u, n in zip(units, whole):
         _, _, first, count = paths.paths(u, 20, 6)
-        assert sum(count) == sum(c for _, c in w) and sorted(first)[:1] == sorted(f for f, _ in w)[:1]
-    assert df.count() == len(rows)
+        assert sorted(x for f, c in zip(first, count) for x in range(f, f + c)) == list(range(n))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, debruijn.without_repeats(df, block=40).collect())) == words_by_force(rows)
+
+
+def test_nonbranching_paths(spark):
+    """A stretch that two texts share is one path; where a third joins it midway it is cut."""
+    rnd = random.Random(41)
+    word = lambda n: " ".join(f"{rnd.choice(WORDS)}{rnd.randrange(10**6)}" for _ in range(n))
+    common = word(80)
+    rows = [(1, f"{word(30)} {common} {word(30)}"), (2, f"{word(5)} {common} {word(40)}"), (3, f"{word(25)} {' '.join(common.split()[30:])} {word(9)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = debruijn.repeats(common_keys(df), 20, 6, 10**6).collect()
+    assert {r.key: sum(x.size for x in r.spans) for r in spans} == {2: 61, 3: 31}
+    graph = [(i, 1, 1, i, i + 1, i + 1, i - 1, i - 1) for i in range(1, 62)]  # id, size, key, at, and the edges after and before
+    graph[0], graph[60], graph[29], graph[30] = (1, 1, 1, 1, 2, 2, 0, 9), (61, 1, 1, 61, 0, 9, 60, 60), (30, 1, 1, 30, 31, 31, 29, 29), (31, 1, 1, 31, 32, 32, 0, 30)
+    edges = spark.createDataFrame(graph, "id long, size long, key long, at long, n0 long, n1 long, p0 long, p1 long")
+    assert sorted(map(tuple, debruijn.compacted(edges).collect())) == [(1, 30), (31, 31)]
+    assert sorted(map(tuple, debruijn.without_repeats(df).collect())) == words_by_force(rows)
+
+
+def common_keys(df):
+    return common.ordered(df)
 
 
 def test_repeated_spans_on_odd_rows(odd, docs):
