@@ -106,8 +106,8 @@ def _runs(key, at, size, source_key, source_at) -> list[np.ndarray]:
 
 def occurrences(docs: DataFrame, parts: DataFrame, edge: int, block: int) -> DataFrame:
     """Two kinds of rows, from blocks of texts: with an id, the first occurrence in the block (key, at, size) of an edge, with n, how
-    many the block has, and the least and greatest id of the edges after (n0, n1) and before (p0, p1) it; without, spans of
-    edges (_SPAN) that stand in the block before."""
+    many the block has, and the ids of the edge after and of the one before all of them (0 if they differ, or there is none); without,
+    spans of edges (_SPAN) that stand in the block before."""
 
     def run(batches):
         for key, at, size, i, after, before in _edges(batches, edge, block):
@@ -116,7 +116,7 @@ def occurrences(docs: DataFrame, parts: DataFrame, edge: int, block: int) -> Dat
             new = np.concatenate([[True], i[1:] != i[:-1]])
             heads = np.flatnonzero(new)
             n = np.diff(np.append(heads, len(i)))
-            ends = [f.reduceat(x, heads) for x in (after, before) for f in (np.minimum, np.maximum)]
+            ends = [np.where((low := np.minimum.reduceat(x, heads)) == np.maximum.reduceat(x, heads), low, 0) for x in (after, before)]
             source = np.repeat(heads, n)[~new]
             spans = _runs(key[~new], at[~new], size[~new], key[source], at[source])
             k = len(spans[0])
@@ -125,22 +125,22 @@ def occurrences(docs: DataFrame, parts: DataFrame, edge: int, block: int) -> Dat
             sources = [np.concatenate([np.zeros(len(heads), np.int64), x]) for x in spans[3:]]
             is_span = np.arange(len(heads) + k) >= len(heads)
             cols = [pa.array(x.astype(np.int64)) for x in both + sources] + [pa.array(x.astype(np.int64), mask=is_span) for x in none]
-            yield pa.RecordBatch.from_arrays(cols, [*_SPAN, "id", "n", "n0", "n1", "p0", "p1"])
+            yield pa.RecordBatch.from_arrays(cols, [*_SPAN, "id", "n", "after", "before"])
 
-    schema = ", ".join(f"{c} long" for c in [*_SPAN, "id", "n", "n0", "n1", "p0", "p1"])
+    schema = ", ".join(f"{c} long" for c in [*_SPAN, "id", "n", "after", "before"])
     return docs.select("key", "text").join(parts, "key").mapInArrow(run, schema)
 
 
 def compacted(repeated: DataFrame) -> DataFrame:
     """id (of the first edge) and whole (edges) of all nonbranching paths of the graph of repeated edges (id, size, key and at of the first
-    occurrence, n0, n1, p0, p1).
+    occurrence, after, before: the edges that follow and precede all occurrences, or 0).
 
     An edge goes on into another if all its occurrences are followed by that one, and all of the other are preceded by it:
     then their occurrences run side by side. A join finds such pairs; as a path's first occurrence is a run of the text that
     has it, the edges that no other goes on into cut that text's edges into paths.
     """
-    into = repeated.where("n0 = n1 and n0 <> 0").select(F.col("n0").alias("id"), F.col("id").alias("from"))
-    inner = repeated.where("p0 = p1 and p0 <> 0").select("id", F.col("p0").alias("from")).join(into, ["id", "from"]).select("id", F.lit(0).alias("head"))
+    into = repeated.where("after <> 0").select(F.col("after").alias("id"), F.col("id").alias("from"))
+    inner = repeated.where("before <> 0").select("id", F.col("before").alias("from")).join(into, ["id", "from"]).select("id", F.lit(0).alias("head"))
     rows = repeated.select("id", "size", "key", "at").join(inner, "id", "left").withColumn("head", F.coalesce("head", F.lit(1)))
     rows = rows.withColumn("path", F.sum("head").over(Window.partitionBy("key").orderBy("at")))
     return rows.groupBy("key", "path").agg(F.max(F.when(F.col("head") == 1, F.col("id"))).alias("id"), F.sum("size").alias("whole")).select("id", "whole")
@@ -160,14 +160,15 @@ def repeats(docs: DataFrame, edge: int, seed: int, block: int) -> DataFrame:
     """
     cut = written(stretches(docs, edge, seed), "snappy")
     seeds = cut.groupBy("seed").agg(F.count("*").alias("times"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("times > 1").select("seed", F.expr("lo <> hi").alias("mixed"))
-    parts = cut.join(seeds, "seed").groupBy("key").agg(F.collect_list(F.struct("first", "n", "id", "mixed")).alias("parts"))
-    found = written(occurrences(docs, parts, edge, block))
+    parts = written(cut.join(seeds, "seed").groupBy("key").agg(F.collect_list(F.struct("first", "n", "id", "mixed")).alias("parts")))
     drop_written(cut)
+    found = written(occurrences(docs, parts, edge, block))
+    drop_written(parts)
     same = Window.partitionBy("id")
     first = F.min(F.struct("key", "at")).over(same).alias("source")
-    ends = [f(c).over(same).alias(c) for c, f in (("n0", F.min), ("n1", F.max), ("p0", F.min), ("p1", F.max))]
+    ends = [F.when(F.min(c).over(same) == F.max(c).over(same), F.col(c)).otherwise(0).alias(c) for c in ("after", "before")]
     edges = found.where("id is not null").select("id", "key", "at", "size", F.sum("n").over(same).alias("n"), first, *ends).where("n > 1")
-    edges = written(edges.select("id", "key", "at", "size", F.col("source.key").alias("source_key"), F.col("source.at").alias("source_at"), "n0", "n1", "p0", "p1"))
+    edges = written(edges.select("id", "key", "at", "size", F.col("source.key").alias("source_key"), F.col("source.at").alias("source_at"), "after", "before"))
     whole = compacted(edges.where("key = source_key and at = source_at"))
     spans = edges.where("key <> source_key or at <> source_at").join(whole, "id").select("key", "at", F.col("whole").alias("size"), "source_key", "source_at")
     spans = written(spans.unionByName(found.where("id is null").select(*_SPAN)))
