@@ -115,13 +115,9 @@ def is_homopolymer(seq) -> Column:
 
 
 def blocks(seq) -> Column:
-    """The sequence as longs of 16 bases each, the last filled up: what kmer_at reads."""
-    seq = _col(seq)
-    digits = F.translate(seq, "ACTG", "0123")
-    return F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(seq) - 1) / BLOCK).cast("int")),
-        lambda q: F.conv(F.rpad(F.substring(digits, q * BLOCK + 1, F.lit(BLOCK)), BLOCK, "0"), 4, 10).cast("long"),
-    )
+    """The sequence as longs of 16 bases each, the last filled up: what kmer_at reads. One pass over the sequence cuts it."""
+    pieces = F.regexp_extract_all(F.translate(_col(seq), "ACTG", "0123"), F.lit(".{1,%d}" % BLOCK), F.lit(0))
+    return F.transform(pieces, lambda x: F.conv(F.rpad(x, BLOCK, "0"), 4, 10).cast("long"))
 
 
 def kmer_at(packed, pos, k: int) -> Column:

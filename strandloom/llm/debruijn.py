@@ -158,19 +158,22 @@ def repeats(docs: DataFrame, edge: int, seed: int, block: int) -> DataFrame:
     3. Nonbranching paths are compacted. Of each path the earliest occurrence is the source; the others are spans.
     4. Digests of the words at the sources' coordinates go with the spans.
     """
-    cut = written(stretches(docs, edge, seed), "snappy")
+    cut = written(stretches(docs, edge, seed))
     seeds = cut.groupBy("seed").agg(F.count("*").alias("times"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("times > 1").select("seed", F.expr("lo <> hi").alias("mixed"))
-    parts = written(cut.join(seeds, "seed").groupBy("key").agg(F.collect_list(F.struct("first", "n", "id", "mixed")).alias("parts")))
+    part = F.struct("first", "n", F.when(~F.col("mixed"), F.col("id")).otherwise(0).alias("id"), "mixed")  # of a mixed one edges get their own ids
+    parts = written(cut.join(seeds, "seed").groupBy("key").agg(F.collect_list(part).alias("parts")))
     drop_written(cut)
     found = written(occurrences(docs, parts, edge, block))
     drop_written(parts)
     same = Window.partitionBy("id")
-    first = F.min(F.struct("key", "at")).over(same).alias("source")
+    source = F.min(F.struct("key", "at")).over(same).alias("source")
     ends = [F.when(F.min(c).over(same) == F.max(c).over(same), F.col(c)).otherwise(0).alias(c) for c in ("after", "before")]
-    edges = found.where("id is not null").select("id", "key", "at", "size", F.sum("n").over(same).alias("n"), first, *ends).where("n > 1")
-    edges = written(edges.select("id", "key", "at", "size", F.col("source.key").alias("source_key"), F.col("source.at").alias("source_at"), "after", "before"))
-    whole = compacted(edges.where("key = source_key and at = source_at"))
-    spans = edges.where("key <> source_key or at <> source_at").join(whole, "id").select("key", "at", F.col("whole").alias("size"), "source_key", "source_at")
+    edges = found.where("id is not null").select("id", "key", "at", "size", F.sum("n").over(same).alias("n"), source, *ends).where("n > 1")
+    edges = edges.select("id", "key", "at", "size", F.col("source.key").alias("source_key"), F.col("source.at").alias("source_at"), "after", "before")
+    first = "key = source_key and at = source_at"
+    edges = written(edges.withColumns({c: F.when(F.expr(first), F.col(c)) for c in ("after", "before")}))
+    whole = compacted(edges.where(first))
+    spans = edges.where(f"not ({first})").join(whole, "id").select("key", "at", F.col("whole").alias("size"), "source_key", "source_at")
     spans = written(spans.unionByName(found.where("id is null").select(*_SPAN)))
     drop_written(found)
     drop_written(edges)
@@ -186,7 +189,9 @@ def repeats(docs: DataFrame, edge: int, seed: int, block: int) -> DataFrame:
 
     asked = spans.select("source_key", "source_at", "size").distinct().groupBy(F.col("source_key").alias("key")).agg(F.collect_list(F.struct("source_at", "size")).alias("asked"))
     sources = docs.select("key", "text").join(asked, "key").mapInArrow(digest, "source_key long, source_at long, size long, digest binary")
-    return spans.join(sources, ["source_key", "source_at", "size"]).groupBy("key").agg(F.collect_list(F.struct("at", "size", "digest")).alias("spans"))
+    out = written(spans.join(sources, ["source_key", "source_at", "size"]).groupBy("key").agg(F.collect_list(F.struct("at", "size", "digest")).alias("spans")))
+    drop_written(spans)
+    return out
 
 
 def _digest(words: list[bytes], at: int, size: int, edge: int) -> bytes:

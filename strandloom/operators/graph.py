@@ -122,6 +122,15 @@ def chimeras(contigs: DataFrame, length: int = 150, ratio: float = 3.0) -> DataF
     return ends.where("far is not null and far <> node and far_ind < 4").join(far, "far").where(f"contig_id = far_p and length < {length} and ratio >= {ratio}").select("contig_id", "node", "far", F.col("ratio").alias("ratio1"), "ratio2")
 
 
+def interior(contigs: DataFrame, k: int) -> DataFrame:
+    """contig_id, ord (from 0), distance (half bases from the contig's first k-mer: the sum of the distances so far), kmer and cov of every
+    place of a contig that has a coverage."""
+    so_far = F.expr("transform(sequence(0, size(coverages) - 1), i -> aggregate(slice(distances, 1, i), 0L, (s, d) -> s + d))")
+    rows = contigs.select("contig_id", "seq", F.posexplode(F.arrays_zip(so_far.alias("d"), F.col("coverages").alias("c"))).alias("ord", "x"))
+    at = F.shiftright(F.col("x.d"), 1).cast("int")
+    return rows.select("contig_id", "ord", F.col("x.d").alias("distance"), dna.encode(F.substring(F.col("seq"), at + 1, F.lit(k))).alias("kmer"), F.col("x.c").alias("cov")).where(F.length("seq") >= at + k)
+
+
 def collapsible(contigs: DataFrame) -> DataFrame:
     """node, back and front: nodes with one contig on each side, neither of which comes back to its own start."""
     at = with_outs(incidence(contigs)).where("outs = 1 and has_back")

@@ -88,6 +88,11 @@ def paths_out(cov) -> Column:
     return F.size(F.filter(cov, lambda c: c > 0))
 
 
+def opposite_index(index: str, cov: str) -> Column:
+    """The way through a junction: from a base ahead back, from the back to the first base that is covered (null without one)."""
+    return F.when(F.col(index) < BACK, F.lit(BACK)).otherwise(F.expr(f"get(filter(sequence(0, 3), i -> get({cov}, i) > 0), 0)"))
+
+
 def is_solid(cov, least: int) -> Column:
     return F.size(F.filter(cov, lambda c: c >= least)) > 1
 

@@ -6,17 +6,20 @@ their lines play the part of contigs: orders_as_contigs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators import coverage, graph, junctions, kmers, pairs, sketch
+from ..operators import cleaning, coverage, disentangle, graph, junctions, kmers, pairs, sketch
 from ..sources import reads as source
 from ..sources import sinks
+from ..streaming import solid as streams
 from . import oracle
 from .assemble import assemble
 from .config import Config
-from .scratch import written
+from .scratch import folder, written
 
 K, J, READ = 21, 1, 100
 
@@ -33,6 +36,39 @@ def reads_with_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.from_documents(_table(spark, sf_dir, "documents"), breaks=True)
 
 
+def read_codes(spark, sf_dir):
+    """Of every read with its line ends: its first letter's code, complement and both as letters, whether it is a base, the smaller of both
+    strands, and the code of its first k-mer."""
+    r = reads_with_breaks(spark, sf_dir)
+    first = F.substring("seq", 1, 1)
+    whole = F.when(F.substring("seq", 1, K).rlike(f"^[ACGT]{{{K}}}$"), dna.encode(F.substring("seq", 1, K)))
+    codes = r.select("read_id", dna.is_valid(first).alias("valid"), dna.code(first).cast("int").alias("code"), dna.canon_seq("seq").alias("canon"), whole.alias("kmer"))
+    return codes.withColumn("complement", dna.complement("code").cast("int")).withColumns({"base": dna.base_of("code"), "other": dna.base_of("complement")})
+
+
+def file_reads(spark, sf_dir):
+    """Reads written as FASTQ files and read from them."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    record = F.concat(F.lit("@r"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))
+    reads(spark, sf_dir).repartitionByRange("read_id").sortWithinPartitions("read_id").select(record.alias("value")).write.text(path)
+    return source.read_sequences(spark, path, fastq=True)
+
+
+def streamed_counts(spark, sf_dir):
+    """K-mer counts of a folder of FASTQ files that arrive as a stream."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    record = F.concat(F.lit("@r\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))
+    reads(spark, sf_dir).select(record.alias("value")).write.text(f"{path}/landing")
+    streams.start_counts(source.read_stream(spark, f"{path}/landing", fastq=True), K, f"{path}/counts", f"{path}/progress").awaitTermination()
+    return streams.total_counts(spark.read.schema("canon long, cnt long, batch int").parquet(f"{path}/counts"))
+
+
+def kmer_lines(spark, sf_dir):
+    """Both k-mers of lines of k + 1 bases, the heads of reads; bad counts shorter ones."""
+    lines = reads(spark, sf_dir).select(F.substring("seq", 1, K + 1).alias("value"))
+    return kmers.kmers_of_lines(lines, K).groupBy("canon").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+
+
 def fragments(spark, sf_dir):
     return kmers.fragments(reads_with_breaks(spark, sf_dir), K)
 
@@ -110,7 +146,8 @@ def _met(spark, sf_dir):
     solid = written(solid_kmers(spark, sf_dir))  # read by both uses
     valid = written(_valid(spark, sf_dir, solid))
     all_sites = junctions.sites(valid, K, J)
-    keys = junctions.junction_keys(all_sites, written(kmers.oriented(solid, K)), K, J)
+    # written: few, and of a known size, so that small ones are broadcast
+    keys = written(junctions.junction_keys(all_sites, written(kmers.oriented(solid, K)), K, J))
     return valid, junctions.junction_sites(all_sites, keys)
 
 
@@ -123,6 +160,12 @@ def junction_coverage(spark, sf_dir):
     return cov.select("kmer", *(F.col("cov")[i].alias(f"cov_{b.lower()}") for i, b in enumerate(dna.BASES)), junctions.paths_out("cov").alias("paths_out"))
 
 
+def junction_opposites(spark, sf_dir):
+    """The way through every junction from each index."""
+    cov = junctions.coverage(_met(spark, sf_dir)[1]).select("kmer", "cov", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("index"))
+    return cov.select("kmer", "index", junctions.opposite_index("index", "cov").alias("opposite"))
+
+
 def junction_links(spark, sf_dir):
     ways = junctions.neighbours(_met(spark, sf_dir)[1], J)
     return ways.groupBy("kmer", "index").agg(F.max("dist").cast("int").alias("dist"), F.bool_or("linked").alias("linked"))
@@ -155,6 +198,29 @@ def long_pairs(spark, sf_dir):
     return pairs.long_pairs(_found(spark, sf_dir), reads(spark, sf_dir), K)
 
 
+def _on_fragments(found):
+    """Junctions of a fragment in the form of those of a contig."""
+    return found.select(F.concat_ws("_", "read_id", "run_no").alias("contig_id"), F.col("tpos").alias("ord"), F.col("real").alias("kmer"), F.col("tpos").alias("distance"))
+
+
+def pair_scores(spark, sf_dir):
+    """By fragment: how many different known pairs its junctions in a row make."""
+    found = written(_found(spark, sf_dir))
+    order = Window.partitionBy("read_id", "run_no").orderBy("tpos")
+    rows = found.select("read_id", "run_no", "real", F.lead("real").over(order).alias("next")).where("next is not null")
+    return pairs.score(rows, pairs.short_pairs(found, K), ["read_id", "run_no"], "real", "next", K)
+
+
+def insert_sizes(spark, sf_dir):
+    found = written(_found(spark, sf_dir))
+    return pairs.insert_size(_on_fragments(found), pairs.short_pairs(found, K), K)
+
+
+def pair_distances(spark, sf_dir):
+    found = written(_found(spark, sf_dir))
+    return pairs.distance_histogram(_on_fragments(found), pairs.short_pairs(found, K), K)
+
+
 def scan_summary(spark, sf_dir):
     """One row: reads, fragments that are long enough, valid ones, sites looked at, junction sites, valid ones without a junction."""
     r = reads(spark, sf_dir)
@@ -185,10 +251,12 @@ def cleaned_contigs(spark, sf_dir):
 
 
 def orders_as_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A contig for each order, from its customer to the one of number 1 + 3 custkey mod 499; of a customer's ends the first five, by order
-    and side, have index 4, 0, 1, 2 and 3, and the others are sinks. Coverages are the quantities of the order's lines."""
+    """A contig for each order, between two of eight nodes that its customer has: 8 custkey and the order's number modulo 8, and 8 custkey and
+    7 thirds of that number modulo 8. Of a node's ends the first five, by order and side, have index 4, 0, 1, 2 and 3, and the others are
+    sinks. Coverages are the quantities of the order's lines."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    ends = orders.select("o_orderkey", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("o_custkey").cast("long").alias("node")), F.struct(F.lit(2).alias("side"), (1 + F.col("o_custkey") * 3 % 499).cast("long").alias("node")))))
+    node = lambda x: (F.col("o_custkey") * 8 + x % 8).cast("long").alias("node")
+    ends = orders.select("o_orderkey", F.inline(F.array(F.struct(F.lit(1).alias("side"), node(F.col("o_orderkey"))), F.struct(F.lit(2).alias("side"), node(F.floor(F.col("o_orderkey") * 7 / 3))))))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("o_orderkey", "side"))
     ends = ends.withColumn("r", rank).where("r <= 5").select("o_orderkey", "side", "node", F.when(F.col("r") == 1, 4).otherwise(F.col("r") - 2).alias("ind"))
     side = lambda s: ends.where(F.col("side") == s).select("o_orderkey", F.col("node").alias(f"n{s}"), F.col("ind").cast("int").alias(f"ind{s}"))
@@ -275,6 +343,59 @@ def bloom_members(spark, sf_dir):
     return members.agg(F.count("*").alias("members"), F.count_if(F.col("cnt") >= 2).alias("solid"))
 
 
+def bloom_sizing(spark, sf_dir):
+    """Sizes of filters for each nation's customers, a row a nation."""
+    nations = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("int").alias("nation")).agg(F.count("*").alias("items")).collect()
+    rows = [(r.nation, r["items"], *sketch.optimal(r["items"], 0.04), *sketch.two_hashes(r["items"], 0.04), *sketch.pair_filter_items(r["items"], True)) for r in nations]
+    return spark.createDataFrame(rows, "nation int, items long, bits long, hashes int, bits2 long, hashes2 int, short_items long, long_items long")
+
+
+def crossings(spark, sf_dir):
+    """Contigs between two nodes that have two ways ahead each."""
+    found = disentangle.crossings(orders_as_contigs(spark, sf_dir))
+    return found.select("middle", "p", "q", *(F.col(f"{c}.contig_id").alias(c) for c in "abcd"))
+
+
+def crossing_votes(spark, sf_dir):
+    """What coverages say about them."""
+    c = orders_as_contigs(spark, sf_dir)
+    return disentangle.votes(disentangle.crossings(c), c, 2.0, 1.2).drop("p", "q", "a", "b", "c", "d")
+
+
+def loops(spark, sf_dir):
+    """Contigs that a loop brings back to their start."""
+    return disentangle.loops(orders_as_contigs(spark, sf_dir)).select("middle", "p", "q", F.col("loop.contig_id").alias("loop"), F.col("l.contig_id").alias("before"), F.col("r.contig_id").alias("after"))
+
+
+def bulges(spark, sf_dir):
+    return cleaning.bulges(orders_as_contigs(spark, sf_dir), ratio=1.2).withColumn("low_cov", F.round("low_cov", 6))
+
+
+def long_bulges(spark, sf_dir):
+    found = cleaning.long_bulges(orders_as_contigs(spark, sf_dir), K, most=199, ratio=1.2)
+    return found.select("node", "gone", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"), F.round("low_cov", 6).alias("low_cov"))
+
+
+def contig_junctions(spark, sf_dir):
+    return graph.interior(orders_as_contigs(spark, sf_dir), K)
+
+
+def graph_problems(spark, sf_dir):
+    return graph.violations(orders_as_contigs(spark, sf_dir), K)
+
+
+def contig_output(spark, sf_dir):
+    return sinks.contig_records(orders_as_contigs(spark, sf_dir), READ, K)
+
+
+def fasta_records(spark, sf_dir):
+    return sinks.fasta_lines(contig_output(spark, sf_dir))
+
+
+def fastg_records(spark, sf_dir):
+    return sinks.fastg_lines(orders_as_contigs(spark, sf_dir))
+
+
 def fastg_headers(spark, sf_dir):
     return sinks.fastg_lines(orders_as_contigs(spark, sf_dir)).select(F.split("value", "\n")[0].alias("header"))
 
@@ -282,9 +403,10 @@ def fastg_headers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        reads, fragments, kmer_count, solid_kmers, kmer_spectrum, kmer_strings, mercy_kmers, kmer_extensions, jcheck_1, jcheck_2, valid_extensions, valid_fragments, junction_keys, junction_coverage,
-        junction_links, junction_table, fake_junctions, solidity_histogram, short_pairs, long_pairs, scan_summary, unitigs, cleaned_contigs, contig_incidence, tips, bubbles, chimeras,
-        collapsible_nodes, inverted_repeats, degenerate_nodes, isolated_contigs, longest_contig, contig_coverage_stats, coverage_equivalence, coverage_difference, bloom_hashes, bloom_members, fastg_headers,
+        reads, read_codes, file_reads, streamed_counts, kmer_lines, fragments, kmer_count, solid_kmers, kmer_spectrum, kmer_strings, mercy_kmers, kmer_extensions, jcheck_1, jcheck_2, valid_extensions, valid_fragments, junction_keys, junction_coverage,
+        junction_opposites, junction_links, junction_table, fake_junctions, solidity_histogram, short_pairs, long_pairs, pair_scores, insert_sizes, pair_distances, scan_summary, unitigs, cleaned_contigs, contig_incidence, tips, bubbles, chimeras,
+        collapsible_nodes, inverted_repeats, degenerate_nodes, isolated_contigs, longest_contig, contig_coverage_stats, coverage_equivalence, coverage_difference, bloom_hashes, bloom_sizing, bloom_members,
+        crossings, crossing_votes, loops, bulges, long_bulges, contig_junctions, graph_problems, contig_output, fasta_records, fastg_records, fastg_headers,
     )
 }
 ORACLE_SQL = oracle.sql(K, J, READ)

@@ -7,14 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset, as in tests.
+#: Used only where spark.checkpoint.dir is unset and one machine does all the work, as in tests.
 OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
 _KNOWN: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    root = f"{(sc.getConf().get('spark.checkpoint.dir') or OWN_CHECKPOINT_DIR).rstrip('/')}/stages-{sc.applicationId}"
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = OWN_CHECKPOINT_DIR
+    root = f"{base.rstrip('/')}/stages-{sc.applicationId}"
     if root not in _KNOWN:
         _KNOWN.add(root)
         atexit.register(remove, sc._jvm, sc._jsc.hadoopConfiguration(), root)

@@ -8,21 +8,32 @@ from pyspark.sql import functions as F
 # What stands for each letter when documents play the part of DNA.
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTER_BASES = "ACTGACTGACTGACTGACTGACTGACACTGACTGACTGACTGACTGACTGAC"
-READ, STEP = 100, 50
+READ, STEP, READS_OF_A_TEXT = 100, 50, 100_000_000
+
+
+def spread(table: DataFrame, by: str) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores, dealt out by a column; one in enough pieces stays as it is. Whole
+    rows move, before what they hold is taken apart. Only the sizes of files are looked at."""
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    piece = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return table.repartition(2 * cores, by) if max(len(table.inputFiles()), size // piece) < cores else table
 
 
 def from_documents(docs: DataFrame, breaks: bool = False) -> DataFrame:
-    """read_id, pair_id, mate and seq: windows of 100 bases, one every 50, of each text with its letters turned into bases and all else
-    left out. Two windows in a row are mates. With breaks, line ends stay as N."""
+    """read_id, pair_id, mate and seq: windows of 100 bases, one every 50 and the last at the end, of each text with its letters turned into
+    bases and all else left out; a text of fewer letters is one read, a text without any (or null) none. Two windows in a row are
+    mates. With breaks, line ends stay as N. doc_ids are to be different; rows without one give no reads. A text has fewer windows
+    than 10^8, as a string has at most 2^31 bytes."""
     source, target = (LETTERS + "\n", LETTER_BASES + "N") if breaks else (LETTERS, LETTER_BASES)
     seq = F.regexp_replace(F.translate("text", source, target), "[^ACGTN]" if breaks else "[^ACGT]", "")
-    windows = docs.select("doc_id", seq.alias("seq")).where(F.length("seq") >= READ)
-    at = F.posexplode(F.expr(f"transform(sequence(1, length(seq) - {READ - 1}, {STEP}), p -> substr(seq, p, {READ}))"))
-    cut = windows.select("doc_id", at.alias("no", "read"))
-    return cut.select(
-        (F.col("doc_id") * 1000000 + F.col("no")).alias("read_id"), (F.col("doc_id") * 1000000 + F.floor(F.col("no") / 2)).alias("pair_id"),
-        (F.col("no") % 2).alias("mate"), F.col("read").alias("seq"),
-    )
+    whole = spread(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id").select("doc_id", seq.alias("seq")).where("seq <> ''")
+    last = f"greatest(length(seq) - {READ}, 0)"
+    at = F.posexplode(F.expr(f"transform(sequence(0, ({last} + {STEP - 1}) div {STEP}), i -> substr(seq, 1 + least({STEP} * cast(i as int), {last}), {READ}))"))
+    cut = whole.select("doc_id", at.alias("no", "read"))
+    first = F.col("doc_id").cast("long") * READS_OF_A_TEXT
+    return cut.select((first + F.col("no")).alias("read_id"), (first + F.floor(F.col("no") / 2)).alias("pair_id"), (F.col("no") % 2).alias("mate"), F.col("read").alias("seq"))
 
 
 def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -50,10 +61,14 @@ def read_sequences(spark: SparkSession, path: str | list[str], fastq: bool = Fal
     return records.join(files, "file").select(number.alias("read_id"), F.floor(number / 2).alias("pair_id"), (number % 2).cast("int").alias("mate"), "seq")
 
 
-def read_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
-    """seq, as a stream, of the lines in a folder that are sequences: files with one sequence a line, or FASTA."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(folder)
-    return lines.where(~F.col("value").startswith(">")).select(F.col("value").alias("seq"))
+def read_stream(spark: SparkSession, folder: str, files_a_batch: int = 100, fastq: bool = False) -> DataFrame:
+    """seq, as a stream, of the sequences in a folder: of files with one sequence a line or FASTA (headers go), or of FASTQ files, whose
+    records have four lines. A FASTQ file is one row of the stream, cut into its records at once; files beyond 2 GB don't fit."""
+    rows = spark.readStream.option("maxFilesPerTrigger", files_a_batch)
+    if not fastq:
+        return rows.text(folder).where(~F.col("value").startswith(">")).select(F.col("value").alias("seq"))
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    return rows.option("wholetext", True).text(folder).select(F.explode(F.filter(lines, lambda x, i: i % 4 == 1)).alias("seq"))
 
 
 def read_junctions(spark: SparkSession, path: str) -> DataFrame:

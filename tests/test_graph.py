@@ -130,3 +130,45 @@ def test_a_shared_repeat_is_copied(spark):
     found = [r.seq for r in done.collect()]
     assert len(found) == 2 and all(any(s in g or turn(s) in g for g in (one, two)) and len(s) > 800 for s in found)
     assert disentangle.parallel_paths(a.contigs, a.short_pairs.limit(0), K)[1] == 0
+
+
+def test_a_loop_is_strung_out(spark):
+    from strandloom.operators import disentangle
+
+    repeat, inner = genome(31, 45), genome(33, 90)
+    g = genome(34, 200) + repeat + inner + repeat + genome(35, 200)
+    a = assemble(reads_of(spark, [g[p : p + 100] for p in range(0, len(g) - 99, 2)]), Config(k=K, clean=False))
+    assert disentangle.loops(a.contigs).count() == 1
+    done, n = disentangle.loop_paths(a.contigs, a.short_pairs, K, 100)
+    assert n == 1 and graph.violations(done, K).count() == 0
+    longest = max((r.seq for r in done.collect()), key=len)
+    assert (longest in g or turn(longest) in g) and len(longest) > len(g) - 60
+    assert disentangle.loop_paths(a.contigs, a.short_pairs.limit(0), K, 100)[1] == 0  # longer than a read, and no pair tells
+    assert disentangle.loop_paths(a.contigs, a.short_pairs.limit(0), K, 200)[1] == 1
+
+
+def test_long_bulges(spark):
+    c = contigs(spark, [(1, 7, 4, None, None, 300, [9]), (2, 7, 0, 9, 0, 120, [9, 9, 9]), (3, 7, 1, 8, 4, 60, [2, 2]), (4, 8, 0, 9, 1, 60, [2, 2]), (5, 8, 1, None, None, 300, [3]), (6, 9, 4, None, None, 300, [9])])
+    assert {(r.node, r.gone, tuple(r.path), r.low_cov) for r in cleaning.long_bulges(c, K).collect()} == {(7, 2, (3, 4), 2.0), (9, 2, (4, 3), 2.0)}
+    assert cleaning.long_bulges(c.where("contig_id <> 4"), K).count() == 0
+
+
+def test_coverage_decides_a_crossing(spark):
+    from strandloom.operators import disentangle
+
+    low, high = [10, 11, 9, 10, 11, 10, 9, 10], [40, 41, 39, 40, 41, 40, 39, 40]
+    rows = [(1, 7, 4, 8, 4, 60, [50] * 4), (2, 7, 0, None, None, 200, low), (3, 7, 1, None, None, 200, high), (4, 8, 0, None, None, 200, high), (5, 8, 1, None, None, 200, low)]
+    c = contigs(spark, rows)
+    crossed = disentangle.crossings(c)
+    assert [(r.middle, r.straight) for r in disentangle.by_coverage(crossed, c).collect()] == [(1, False)]
+    none = spark.createDataFrame([], "k1 long, k2 long")
+    assert [(r.middle, r.straight) for r in disentangle.decided(crossed, c, none, K, 500).collect()] == [(1, False)]
+    new, n = disentangle.parallel_paths(c, none, K)
+    assert n == 1 and {len(r.seq) for r in new.collect()} == {200 + 60 + 200 - 2 * K}
+
+
+def test_opposite_index(spark):
+    from strandloom.operators import junctions
+
+    df = spark.createDataFrame([(2, [0, 3, 0, 1]), (4, [0, 3, 0, 1]), (4, [0, 0, 0, 0])], "index int, cov array<int>")
+    assert [r[0] for r in df.select(junctions.opposite_index("index", "cov")).collect()] == [4, 1, None]

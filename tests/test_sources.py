@@ -93,3 +93,33 @@ def test_coverage_statistics(spark):
     assert [(r.e, r.d) for r in got] == [(True, False), (False, True), (False, False), (False, False)]
     r = df.limit(1).select(coverage.mean("a").alias("m"), coverage.deviation("a").alias("s"), coverage.shifted_range("a", F.lit(250), 0, 1).alias("x")).first()
     assert (round(r.m, 3), round(r.s, 3), r.x) == (10.8, 0.837, [255, 255, 12, 10, 11])
+
+
+def test_whole_texts_are_read(spark):
+    texts = [(1, "a" * 99), (2, "c!" * 100), (3, "t" * 101), (4, "g" * 149 + "a"), (5, "t" * 160), (6, ""), (7, None), (None, "a" * 200), (8, "123")]
+    got = {}
+    for r in source.from_documents(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("read_id").collect():
+        got.setdefault(r.read_id // source.READS_OF_A_TEXT, []).append(r.seq)
+    letter = dict(zip(source.LETTERS, source.LETTER_BASES))
+    a, c, g, t = (letter[x] for x in "acgt")
+    assert got == {1: [a * 99], 2: [c * 100], 3: [t * 100] * 2, 4: [g * 100, g * 99 + a], 5: [t * 100] * 3}
+
+
+def test_fastq_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fq").write_text("".join(f"@r{i}\n{'ACGT' * (i + 2)}\n+\n{'@' * 4 * (i + 2)}\n" for i in range(5)))
+    q = source.read_stream(spark, f"{tmp_path}/in", fastq=True).writeStream.format("memory").queryName("fq").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.seq for r in spark.table("fq").collect()) == sorted("ACGT" * (i + 2) for i in range(5))
+
+
+def test_long_sequences_are_packed_in_one_pass(spark):
+    import random
+
+    from strandloom.functions import dna
+
+    rnd = random.Random(3)
+    g = "".join(rnd.choice("ACGT") for _ in range(200_003))
+    df = spark.createDataFrame([(g,)], "seq string").select(dna.blocks("seq").alias("b")).select(*(dna.kmer_at("b", F.lit(p), 31).alias(f"k{p}") for p in (0, 17, 100_000, 199_972)))
+    want = [int("".join(str("ACTG".index(x)) for x in g[p : p + 31]), 4) for p in (0, 17, 100_000, 199_972)]
+    assert list(df.first()) == want
