@@ -68,7 +68,7 @@ def read_stream(spark: SparkSession, folder: str, files_a_batch: int = 100, fast
     if not fastq:
         return rows.text(folder).where(~F.col("value").startswith(">")).select(F.col("value").alias("seq"))
     lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    return rows.option("wholetext", True).text(folder).select(F.explode(F.filter(lines, lambda x, i: i % 4 == 1)).alias("seq"))
+    return rows.text(folder, wholetext=True).select(F.explode(F.filter(lines, lambda x, i: i % 4 == 1)).alias("seq"))
 
 
 def read_junctions(spark: SparkSession, path: str) -> DataFrame:
