@@ -18,6 +18,8 @@ from .paths import paths, prefix_sums, span_hash
 EDGE_WORDS, SEED_WORDS = 20, 6
 #: Edges that a task sums up before it hands them on.
 BLOCK_EDGES = 200_000
+#: Seeds that are broadcast, at most: a row of three longs each.
+HOT_SEEDS = 1000
 #: size edges of a text from its edge `at` on are those of the text source_key from source_at on.
 _SPAN = ["key", "at", "size", "source_key", "source_at"]
 
@@ -146,6 +148,16 @@ def compacted(repeated: DataFrame) -> DataFrame:
     return rows.groupBy("key", "path").agg(F.max(F.when(F.col("head") == 1, F.col("id"))).alias("id"), F.sum("size").alias("whole")).select("id", "whole")
 
 
+def _by_seed(cut: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The stretches joined with their seeds. Seeds with a HOT_SEEDS-th of all stretches or more, which are HOT_SEEDS at most, are
+    broadcast, so that none of their stretches move; the others' stretches go to their seeds."""
+    seeds = written(seeds)
+    common = f"times * {HOT_SEEDS} >= {cut.count()}"
+    hot = F.broadcast(seeds.where(common))
+    rest = cut.join(hot.select("seed"), "seed", "left_anti").join(seeds.where(f"not ({common})"), "seed")
+    return cut.join(hot, "seed").unionByName(rest)
+
+
 def repeats(docs: DataFrame, edge: int, seed: int, block: int) -> DataFrame:
     """key and spans (at, size, digest) of the texts (key, text) that have edges which stand earlier, too (smaller key, or same text and
     earlier). digest is that of the words at the span's source.
@@ -159,9 +171,9 @@ def repeats(docs: DataFrame, edge: int, seed: int, block: int) -> DataFrame:
     4. Digests of the words at the sources' coordinates go with the spans.
     """
     cut = written(stretches(docs, edge, seed))
-    seeds = cut.groupBy("seed").agg(F.count("*").alias("times"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("times > 1").select("seed", F.expr("lo <> hi").alias("mixed"))
+    seeds = cut.groupBy("seed").agg(F.count("*").alias("times"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("times > 1").select("seed", "times", F.expr("lo <> hi").alias("mixed"))
     part = F.struct("first", "n", F.when(~F.col("mixed"), F.col("id")).otherwise(0).alias("id"), "mixed")  # of a mixed one edges get their own ids
-    parts = written(cut.join(seeds, "seed").groupBy("key").agg(F.collect_list(part).alias("parts")))
+    parts = written(_by_seed(cut, seeds).groupBy("key").agg(F.collect_list(part).alias("parts")))
     drop_written(cut)
     found = written(occurrences(docs, parts, edge, block))
     drop_written(parts)
