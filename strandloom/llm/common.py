@@ -76,7 +76,7 @@ def ordered(docs: DataFrame, rest: bool = False) -> DataFrame:
     they should be, they are the keys."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     docs = docs.select(*own, *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest")] * rest))
-    if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.withColumn("key", F.col("doc_id"))
     tie = F.xxhash64("text")
     pieces = written(docs.repartitionByRange(F.asc_nulls_first("doc_id"), tie).withColumn("piece", F.spark_partition_id()))
