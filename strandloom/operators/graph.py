@@ -6,6 +6,8 @@ contig holds the k-mer of the node at each of its ends; n1 or n2 is null where i
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def contig_graph(counts: DataFrame, k: int, least: int = 2) -> DataFrame:
     long_seq = F.concat(F.coalesce(dna.revcomp_seq("base1"), F.lit("")), "seq", F.coalesce("base2", F.lit("")))
     contigs = joined.select(F.col("first").alias("contig_id"), "n1", "ind1", "n2", "ind2", long_seq.alias("seq"), "coverages", "circular")
     contigs = contigs.unionByName(_edges(ahead, solid, k))
-    return contigs.withColumn("distances", F.transform(F.slice("coverages", 2, F.size("coverages")), lambda c: F.lit(2))).select("contig_id", "n1", "ind1", "n2", "ind2", "seq", "distances", "coverages", "circular")
+    return contigs.withColumn("distances", F.transform(F.slice("coverages", 2, F.size("coverages")), lambda c: F.lit(2))).select("contig_id", "n1", "ind1", "n2", "ind2", "seq", F.when(F.coalesce(F.col("ind1") < BACK, F.lit(False)), 3).otherwise(1).alias("lead"), "distances", "coverages", "circular")
 
 
 def _end(ends: DataFrame, ahead: DataFrame, k: int) -> DataFrame:
@@ -125,10 +127,59 @@ def chimeras(contigs: DataFrame, length: int = 150, ratio: float = 3.0) -> DataF
 def interior(contigs: DataFrame, k: int) -> DataFrame:
     """contig_id, ord (from 0), distance (half bases from the contig's first k-mer: the sum of the distances so far), kmer and cov of every
     place of a contig that has a coverage."""
-    so_far = F.expr("transform(sequence(0, size(coverages) - 1), i -> aggregate(slice(distances, 1, i), 0L, (s, d) -> s + d))")
-    rows = contigs.select("contig_id", "seq", F.posexplode(F.arrays_zip(so_far.alias("d"), F.col("coverages").alias("c"))).alias("ord", "x"))
-    at = F.shiftright(F.col("x.d"), 1).cast("int")
-    return rows.select("contig_id", "ord", F.col("x.d").alias("distance"), dna.encode(F.substring(F.col("seq"), at + 1, F.lit(k))).alias("kmer"), F.col("x.c").alias("cov")).where(F.length("seq") >= at + k)
+
+    def rows(x: dict) -> dict:
+        at = np.cumsum(np.array([0, *x["distances"]], np.int64))[: len(x["coverages"])]
+        ok = (at >> 1) + k <= len(x["seq"])
+        return {"ord": np.arange(len(at))[ok], "distance": at[ok], "kmer": _kmers(x["seq"], at[ok] >> 1, k, False), "cov": np.asarray(x["coverages"])[ok]}
+
+    own = contigs.select("contig_id", "seq", F.col("distances").cast("array<long>").alias("distances"), F.col("coverages").cast("array<long>").alias("coverages"))
+    return _places(own, rows, {"ord": "int", "distance": "long", "kmer": "long", "cov": "int"})
+
+
+def junction_results(contigs: DataFrame, k: int) -> DataFrame:
+    """contig_id, ord, kmer (the real extension of a junction on the contig: the k-mer one base on in the direction it faces), cov, and from1
+    and from2, the half bases to it from the junctions at both ends. The k-mers at the ends of the contig have none outwards."""
+
+    def rows(x: dict) -> dict:
+        at = np.cumsum(np.array([0, *x["distances"]], np.int64))[: len(x["coverages"])] + x["lead"]
+        real, last = np.where(at % 2 == 1, at + 2, at - 2), 2 * (len(x["seq"]) - k) + 1
+        ok = (real >= 0) & (real <= last)
+        real = real[ok]
+        ahead = real % 2 == 1
+        kmer = np.where(ahead, _kmers(x["seq"], real >> 1, k, False), _kmers(x["seq"], real >> 1, k, True))
+        return {"ord": np.arange(len(at))[ok], "kmer": kmer, "cov": np.asarray(x["coverages"])[ok], "from1": real - x["start1"], "from2": last - real - x["start2"]}
+
+    start = lambda c: F.coalesce((F.col(c) < BACK).cast("int"), F.lit(0))
+    own = contigs.select("contig_id", "seq", "lead", start("ind1").alias("start1"), start("ind2").alias("start2"), F.col("distances").cast("array<long>").alias("distances"), F.col("coverages").cast("array<long>").alias("coverages"))
+    return _places(own, rows, {"ord": "int", "kmer": "long", "cov": "int", "from1": "long", "from2": "long"})
+
+
+_CODE = np.zeros(256, np.int64)
+_CODE[list(b"ACTG")] = range(4)
+
+
+def _kmers(seq: str, at: np.ndarray, k: int, turned: bool) -> np.ndarray:
+    """The k-mers at these places, or their reverse complements."""
+    codes, out = _CODE[np.frombuffer(seq.encode(), np.uint8)], np.zeros(len(at), np.int64)
+    for i in range(k):
+        out = out * 4 + (codes[at + k - 1 - i] ^ 2 if turned else codes[at + i])
+    return out
+
+
+def _places(contigs: DataFrame, rows, kinds: dict[str, str]) -> DataFrame:
+    """A row for each place of a contig. Running sums along a contig are linear here; as array expressions they would take its square."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if x["coverages"] and x["seq"]:
+                    found = rows(x)
+                    cols = {"contig_id": pa.array(np.full(len(found["ord"]), x["contig_id"]), pa.int64())} | {c: pa.array(found[c].astype(np.int32 if t == "int" else np.int64)) for c, t in kinds.items()}
+                    yield pa.RecordBatch.from_pydict(cols)
+
+    return contigs.mapInArrow(run, ", ".join(["contig_id long", *(f"{c} {t}" for c, t in kinds.items())]))
 
 
 def collapsible(contigs: DataFrame) -> DataFrame:

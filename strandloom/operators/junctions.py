@@ -18,13 +18,19 @@ def sites(valid: DataFrame, k: int, j: int) -> DataFrame:
     at 2 j + 1 and ends where fewer than 2 j + 1 half bases are left. ext is the code of the base that the read really
     has ahead of the oriented k-mer.
     """
-    packed = valid.select("read_id", "frag_no", "run_no", F.length("seq").alias("n"), dna.blocks("seq").alias("packed"), dna.blocks(dna.revcomp_seq("seq")).alias("turned"))
-    packed = packed.where(F.col("n") >= k + 2 * j + 1)
-    places = packed.select("*", F.explode(F.sequence(F.lit(2 * j + 1), 2 * F.col("n") - 2 * k - 2 * j)).alias("tpos"))
+    long_enough = valid.where(F.length("seq") >= k + 2 * j + 1)
+    return sites_at(long_enough.withColumn("tpos", F.sequence(F.lit(2 * j + 1), 2 * F.length("seq") - 2 * k - 2 * j)), k)
+
+
+def sites_at(places: DataFrame, k: int) -> DataFrame:
+    """The sites at the half bases tpos (a number or several) of valid fragments."""
+    packed = places.select("read_id", "frag_no", "run_no", "tpos", F.length("seq").alias("n"), dna.blocks("seq").alias("packed"), dna.blocks(dna.revcomp_seq("seq")).alias("turned"))
+    if dict(packed.dtypes)["tpos"].startswith("array"):
+        packed = packed.withColumn("tpos", F.explode("tpos"))
     # on the strand that the oriented k-mer lies on, the base ahead is the one after it
     ahead = F.col("tpos").bitwiseAND(1) == 1
     pos = F.shiftright("tpos", 1)
-    places = places.select(
+    places = packed.select(
         "read_id", "frag_no", "run_no", "tpos", (2 * F.col("n") - F.col("tpos") - 2 * k + 1).alias("to_end"),
         F.when(ahead, F.col("packed")).otherwise(F.col("turned")).alias("strand"), F.when(ahead, pos).otherwise(F.col("n") - k - pos).alias("pos"),
     )

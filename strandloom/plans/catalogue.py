@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators import cleaning, coverage, disentangle, graph, junctions, kmers, pairs, sketch
+from ..operators import cleaning, coverage, disentangle, graph, junctions, kmers, pairs, sketch, walks
 from ..sources import reads as source
 from ..sources import sinks
 from ..streaming import solid as streams
@@ -21,7 +21,7 @@ from .assemble import assemble
 from .config import Config
 from .scratch import folder, written
 
-K, J, READ = 21, 1, 100
+K, J, READ, SPACER = 21, 1, 100, 25
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,6 +175,19 @@ def junction_table(spark, sf_dir):
     return sinks.junction_lines(junctions.junctions(_met(spark, sf_dir)[1], J), K)
 
 
+def spacer_sites(spark, sf_dir):
+    """Places that are made junctions because no branching one lies within 2 SPACER - 1 half bases before them."""
+    valid, met = _met(spark, sf_dir)
+    return walks.spacers(valid, written(met), K, J, SPACER)
+
+
+def junction_ways(spark, sf_dir):
+    """Where each way from a branching junction leads: the next junction and the index back, or how far reads go."""
+    valid, met = _met(spark, sf_dir)
+    found = walks.ways(valid, written(met), K, J)
+    return found.select("kmer", F.col("index").cast("int").alias("index"), "linked", F.col("dist").cast("int").alias("dist"), F.when(F.col("linked"), F.col("far")).alias("far"), F.col("far_index").cast("int").alias("far_index"), F.md5("seq").alias("seq_md5"))
+
+
 def fake_junctions(spark, sf_dir):
     valid, met = _met(spark, sf_dir)
     return junctions.fake_junctions(valid, met, K, J)
@@ -241,6 +254,12 @@ def unitigs(spark, sf_dir):
     return c.select("contig_id", "n1", "ind1", "n2", "ind2", F.length("seq").alias("length"), F.md5("seq").alias("seq_md5"), coverage.mean("coverages").alias("cov"), "circular")
 
 
+def junction_contigs(spark, sf_dir):
+    """Contigs between branching junctions and sinks of all documents' reads, before they are cleaned."""
+    c = assemble(reads(spark, sf_dir), Config(k=K, j=J, read_length=READ, clean=False)).contigs
+    return c.select("contig_id", "n1", "ind1", "n2", "ind2", F.length("seq").alias("length"), F.md5("seq").alias("seq_md5"), F.size("coverages").alias("junctions"), coverage.mean("coverages").alias("cov"), "circular")
+
+
 def cleaned_contigs(spark, sf_dir):
     """The graph after cleaning, by length and coverage."""
     a = assemble(reads(spark, sf_dir), Config(k=K, j=J, read_length=READ))
@@ -265,7 +284,7 @@ def orders_as_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = (50 + F.col("o_orderkey") % 150).cast("int")
     seq = F.substring(F.repeat(F.lit("ACTG"), 50), F.lit(1), length)
     joined = orders.join(lines, "o_orderkey").join(side(1), "o_orderkey", "left").join(side(2), "o_orderkey", "left")
-    return joined.select(F.col("o_orderkey").cast("long").alias("contig_id"), "n1", "ind1", "n2", "ind2", seq.alias("seq"), F.transform(F.slice("coverages", 2, F.size("coverages")), lambda c: F.lit(2)).alias("distances"), "coverages", F.lit(False).alias("circular"))
+    return joined.select(F.col("o_orderkey").cast("long").alias("contig_id"), "n1", "ind1", "n2", "ind2", seq.alias("seq"), F.when(F.col("ind1") < 4, 1).otherwise(0).alias("lead"), F.transform(F.slice("coverages", 2, F.size("coverages")), lambda c: F.lit(2)).alias("distances"), "coverages", F.lit(False).alias("circular"))
 
 
 def contig_incidence(spark, sf_dir):
@@ -380,6 +399,18 @@ def contig_junctions(spark, sf_dir):
     return graph.interior(orders_as_contigs(spark, sf_dir), K)
 
 
+def contig_results(spark, sf_dir):
+    """The real extensions of the junctions along contigs, with their distances from both ends."""
+    return graph.junction_results(orders_as_contigs(spark, sf_dir), K)
+
+
+def pair_candidates(spark, sf_dir):
+    """From every way of a node with two of them, the junctions within 12 half bases, across contigs, numbered by distance."""
+    c = written(orders_as_contigs(spark, sf_dir))
+    starts = graph.with_outs(graph.incidence(c)).where("outs = 2 and ind < 4").select("node", "ind", F.lit(12).cast("long").alias("most"))
+    return disentangle.candidates(c, starts, K)
+
+
 def graph_problems(spark, sf_dir):
     return graph.violations(orders_as_contigs(spark, sf_dir), K)
 
@@ -404,9 +435,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         reads, read_codes, file_reads, streamed_counts, kmer_lines, fragments, kmer_count, solid_kmers, kmer_spectrum, kmer_strings, mercy_kmers, kmer_extensions, jcheck_1, jcheck_2, valid_extensions, valid_fragments, junction_keys, junction_coverage,
-        junction_opposites, junction_links, junction_table, fake_junctions, solidity_histogram, short_pairs, long_pairs, pair_scores, insert_sizes, pair_distances, scan_summary, unitigs, cleaned_contigs, contig_incidence, tips, bubbles, chimeras,
+        junction_opposites, junction_links, junction_table, spacer_sites, junction_ways, fake_junctions, solidity_histogram, short_pairs, long_pairs, pair_scores, insert_sizes, pair_distances, scan_summary, unitigs, junction_contigs, cleaned_contigs, contig_incidence, tips, bubbles, chimeras,
         collapsible_nodes, inverted_repeats, degenerate_nodes, isolated_contigs, longest_contig, contig_coverage_stats, coverage_equivalence, coverage_difference, bloom_hashes, bloom_sizing, bloom_members,
-        crossings, crossing_votes, loops, bulges, long_bulges, contig_junctions, graph_problems, contig_output, fasta_records, fastg_records, fastg_headers,
+        crossings, crossing_votes, loops, bulges, long_bulges, contig_junctions, contig_results, pair_candidates, graph_problems, contig_output, fasta_records, fastg_records, fastg_headers,
     )
 }
-ORACLE_SQL = oracle.sql(K, J, READ)
+ORACLE_SQL = oracle.sql(K, J, READ, SPACER)

@@ -27,7 +27,7 @@ def _table(column: str, table: list[float], beyond: list[tuple]) -> str:
     return f"CASE WHEN {column} < 1 THEN 0 {cases} ELSE {beyond[-1][1]} END"
 
 
-def sql(k: int, j: int, read_length: int) -> dict[str, str]:
+def sql(k: int, j: int, read_length: int, spacer: int) -> dict[str, str]:
     q: dict[str, str] = {}
 
     def reads(source: str, target: str, keep: str) -> str:
@@ -106,6 +106,20 @@ def sql(k: int, j: int, read_length: int) -> dict[str, str]:
     row = " || ' ' || ".join(f"d{i}" for i in range(5)) + " || '  ' || " + " || ' ' || ".join(f"cov_{b}" for b in "actg") + " || '  ' || (" + " + ".join(f"cov_{b}" for b in "actg") + ") || '  ' || " + " || ' ' || ".join(f"l{i}" for i in range(5))
     q["junction_table"] = f"""{ways}, cv AS (SELECT x, {", ".join(f"CAST(least(count(*) FILTER (ext = {i}), 255) AS INTEGER) AS cov_{b}" for i, b in enumerate("actg"))} FROM m GROUP BY x),
         ds AS (SELECT x, {dist} FROM y GROUP BY x) SELECT {_bases('ds.x')} || ' ' || {row} AS value FROM ds JOIN cv ON ds.x = cv.x"""
+    step = 2 * spacer - 1
+    q["spacer_sites"] = f"""{sites}, gp AS (SELECT read_id, run_no, coalesce(lag(tpos) OVER w, 0) AS a, tpos AS b FROM m WINDOW w AS (PARTITION BY read_id, run_no ORDER BY tpos)
+            UNION ALL SELECT v.read_id, v.run_no, coalesce((SELECT max(tpos) FROM m WHERE m.read_id = v.read_id AND m.run_no = v.run_no), 0), 2 * length(seq) - {2 * k + 2 * j - 1} FROM v),
+        sp AS (SELECT read_id, run_no, unnest(range(greatest(a + {step}, {2 * j + 1}), b, {step})) AS t FROM gp)
+        SELECT z.read_id, v.frag_no, z.run_no, CAST(z.tpos AS INTEGER) AS tpos, CAST(z.to_end AS INTEGER) AS to_end, {_number('x')} AS kmer, CAST(ext AS INTEGER) AS ext
+        FROM sp JOIN z ON z.read_id = sp.read_id AND z.run_no = sp.run_no AND z.tpos = t JOIN v ON v.read_id = z.read_id AND v.run_no = z.run_no"""
+    q["junction_ways"] = f"""{sites}, lw AS (SELECT m.*, v.seq, length(v.seq) - {k + j} AS last, lead(tpos) OVER w AS nt, lead(x) OVER w AS nx, lead(m.ext) OVER w AS ne, lag(tpos) OVER w AS pt, lag(x) OVER w AS px, lag(m.ext) OVER w AS pe
+            FROM m JOIN v ON v.read_id = m.read_id AND v.run_no = m.run_no WINDOW w AS (PARTITION BY m.read_id, m.run_no ORDER BY tpos)),
+        yw AS (SELECT x, CASE WHEN tpos % 2 = 1 THEN ext ELSE 4 END AS index, coalesce(nt - tpos, to_end - {2 * j}) AS dist, nx AS far, CASE WHEN nt % 2 = 1 THEN 4 ELSE ne END AS fi,
+                substr(seq, tpos // 2 + 1, coalesce(nt // 2, last) - tpos // 2 + {k}) AS s FROM lw
+            UNION ALL SELECT x, CASE WHEN tpos % 2 = 1 THEN 4 ELSE ext END, coalesce(tpos - pt, tpos - {2 * j}), px, CASE WHEN pt % 2 = 1 THEN pe ELSE 4 END,
+                {_turn(f"substr(seq, coalesce(pt // 2, {j}) + 1, tpos // 2 - coalesce(pt // 2, {j}) + {k})")} FROM lw),
+        bw AS (SELECT x, index, bool_or(far IS NOT NULL) AS linked, arg_max({{'far': far, 'fi': fi, 's': s, 'd': dist}}, (far IS NOT NULL, dist)) AS w FROM yw GROUP BY x, index)
+        SELECT {_number('x')} AS kmer, CAST(index AS INTEGER) AS index, linked, CAST(w.d AS INTEGER) AS dist, CASE WHEN linked THEN {_number('w.far')} END AS far, CASE WHEN linked THEN CAST(w.fi AS INTEGER) END AS far_index, md5({_bases('w.s')}) AS seq_md5 FROM bw"""
     fake = f"""{sites}, fk AS (SELECT v.*, length(seq) // 2 - {k // 2} AS p FROM v WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.read_id = v.read_id AND m.run_no = v.run_no))"""
     q["fake_junctions"] = f"""{fake} SELECT read_id, frag_no, run_no, {_number(f'substr(seq, p + 1, {k})')} AS kmer, CAST(substr(seq, p + 1 + {k}, 1) AS INTEGER) AS ext,
         CAST(2 * p + 1 - {2 * j} AS INTEGER) AS dist_back, CAST(2 * length(seq) - 2 * p - {2 * k + 2 * j} AS INTEGER) AS dist_on FROM fk"""
@@ -197,6 +211,17 @@ def _graph(read_length: int, k: int) -> dict[str, str]:
         SELECT node, gone, array_to_string(path, ' ') AS path, round(low_cov, 6) AS low_cov FROM bs WHERE n = 1 AND (abs(total - whole) < 4 OR abs(total - whole) <= 0.05 * whole)"""
     q["contig_junctions"] = f"""SELECT contig_id, ord, distance, {_number(f"substr({digits('contig_id')}, ord + 1, {k})")} AS kmer, cov FROM
         (SELECT id AS contig_id, CAST(t AS INTEGER) AS ord, CAST(2 * t AS BIGINT) AS distance, cov[t + 1] AS cov FROM (SELECT id, cov, unnest(range(0, len(cov))) AS t FROM c))"""
+    results = f""", jr AS (SELECT id, t AS ord, cov[t + 1] AS cov, len, n1, ind1, n2, ind2, (coalesce(ind1, 4) < 4)::INT AS s1, (coalesce(ind2, 4) < 4)::INT AS s2, (coalesce(ind1, 4) < 4)::INT + 2 * t AS pl FROM (SELECT *, unnest(range(0, len(cov))) AS t FROM c)),
+        jq AS (SELECT *, CASE WHEN pl % 2 = 1 THEN pl + 2 ELSE pl - 2 END AS q FROM jr),
+        js AS (SELECT *, substr({digits('id')}, q // 2 + 1, {k}) AS x, q - s1 AS from1, 2 * (len - {k}) + 1 - q - s2 AS from2 FROM jq WHERE q BETWEEN 0 AND 2 * (len - {k}) + 1)"""
+    kmer = _number(f"CASE WHEN q % 2 = 1 THEN x ELSE {_turn('x')} END")
+    q["contig_results"] = f"{results} SELECT id AS contig_id, CAST(ord AS INTEGER) AS ord, {kmer} AS kmer, cov, CAST(from1 AS BIGINT) AS from1, CAST(from2 AS BIGINT) AS from2 FROM js"
+    q["pair_candidates"] = f"""{results}, tt AS (SELECT i.*, 2 * (len(c.cov) - 1) AS total FROM i JOIN c USING (id)),
+        rc(node, ind, pos, by_, d) AS (SELECT node, ind, node, ind, 0::BIGINT FROM i WHERE outs = 2 AND ind < 4
+            UNION SELECT rc.node, rc.ind, nx.node, nx.ind, rc.d + tt.total FROM rc JOIN tt ON tt.node = rc.pos AND tt.ind = rc.by_ JOIN i nx ON nx.node = tt.far AND (nx.ind = 4) <> (tt.far_ind = 4) WHERE rc.d + tt.total <= 12),
+        ws AS (SELECT n1 AS node, ind1 AS ind, {kmer} AS kmer, from1 AS r FROM js WHERE n1 IS NOT NULL UNION ALL SELECT n2, ind2, {kmer}, from2 FROM js WHERE n2 IS NOT NULL),
+        cd AS (SELECT rc.node, rc.ind, kmer, min(d + r) AS distance FROM rc JOIN ws ON ws.node = rc.pos AND ws.ind = rc.by_ WHERE r > 0 AND d + r <= 12 GROUP BY ALL)
+        SELECT node, ind, kmer, distance, CAST(row_number() OVER (PARTITION BY node, ind ORDER BY distance, kmer) AS INTEGER) AS nth FROM cd"""
     end1, end2 = f"left({digits('id')}, {k})", f"right({digits('id')}, {k})"
     q["graph_problems"] = f"""SELECT min(id) AS contig_id, 'two contigs at one index' AS problem FROM i GROUP BY node, ind HAVING count(DISTINCT id) > 1
         UNION ALL SELECT id, 'shorter than k' FROM c WHERE len < {k} UNION ALL SELECT id, 'distances do not fit coverages' FROM c WHERE len(cov) = 0

@@ -39,3 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A table that is added to: parts go to one folder, so that reading it stays one scan however many there are."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema = spark, f"{folder(spark)}/{uuid.uuid4().hex}", None
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").option("compression", "zstd").parquet(self.path)
+        self.schema = df.schema
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

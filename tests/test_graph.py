@@ -144,7 +144,10 @@ def test_a_loop_is_strung_out(spark):
     longest = max((r.seq for r in done.collect()), key=len)
     assert (longest in g or turn(longest) in g) and len(longest) > len(g) - 60
     assert disentangle.loop_paths(a.contigs, a.short_pairs.limit(0), K, 100)[1] == 0  # longer than a read, and no pair tells
-    assert disentangle.loop_paths(a.contigs, a.short_pairs.limit(0), K, 200)[1] == 1
+    assert disentangle.loop_paths(a.contigs, a.short_pairs.limit(0), K, 200)[1] == 0  # it holds junctions, which no pair speaks for
+    ends, d = F.array(F.element_at("coverages", 1), F.element_at("coverages", -1)), F.array(F.aggregate("distances", F.lit(0), lambda s, x: s + x))
+    bare = a.contigs.withColumns({"coverages": ends, "distances": d})
+    assert disentangle.loop_paths(bare, a.short_pairs.limit(0), K, 200)[1] == 1
 
 
 def test_long_bulges(spark):

@@ -140,9 +140,12 @@ def test_pairs_and_merge(spark):
 
 
 def test_insert_size(spark):
-    rows = spark.createDataFrame([(0, 5, 0), (1, 6, 10), (2, 7, 30)], "ord int, kmer long, distance long")
-    known = spark.createDataFrame([(5, 6), (5, 7)], "k1 long, k2 long")
+    places = [(0, 5, 0), (1, 6, 10), (2, 7, 30), (3, 5, 3000), (4, 6, 3010)]
+    rows = spark.createDataFrame([(1, *p) for p in places[:3]] + [(2, *p) for p in places] + [(3, 0, 8, 0), (3, 1, 9, 4)], "contig_id long, ord int, kmer long, distance long")
     k = 31
-    known = known.select(*pairs.pair_key("k1", "k2", k))
-    assert tuple(pairs.insert_size(rows, known, k).first()) == (20, 20)
-    assert tuple(pairs.insert_size(rows, known.limit(0), k).first()) == (0, 0)
+    known = spark.createDataFrame([(5, 6), (5, 7)], "k1 long, k2 long").select(*pairs.pair_key("k1", "k2", k))
+    got = {r.contig_id: (r["mean"], r["std"]) for r in pairs.insert_size(rows, known, k).collect()}
+    assert got == {1: (20, 20), 2: (16, 13)}  # a contig without known pairs has no row; pairs 3000 apart are out of reach
+    assert pairs.insert_size(rows, known.limit(0), k).count() == 0
+    near = [(c, a[1], b[1], b[2] - a[2]) for c, own in ((1, places[:3]), (2, places)) for i, a in enumerate(own) for b in own[i:] if b[2] - a[2] <= 500]
+    assert sorted((r.contig_id, r.kmer_a, r.kmer_b, r.distance) for r in pairs.within(rows.where("contig_id < 3"), 500).collect()) == sorted(near)
