@@ -54,15 +54,32 @@ def file_reads(spark, sf_dir):
     return source.read_sequences(spark, path, fastq=True)
 
 
-def streamed_counts(spark, sf_dir):
-    """K-mer counts of a folder of FASTQ files that arrive as a stream."""
+def _landing(spark, sf_dir) -> str:
+    """A folder of FASTQ files of all reads."""
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
     record = F.concat(F.lit("@r\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))
     reads(spark, sf_dir).select(record.alias("value")).write.text(f"{path}/landing")
-    streams.start_counts(source.read_stream(spark, f"{path}/landing", fastq=True), K, f"{path}/counts", f"{path}/progress").awaitTermination()
+    return path
+
+
+def streamed_counts(spark, sf_dir):
+    """K-mer counts of a folder of FASTQ files that arrive as a stream."""
+    path = _landing(spark, sf_dir)
+    streams.start_file_counts(spark, f"{path}/landing", K, f"{path}/counts", f"{path}/progress").awaitTermination()
     return streams.total_counts(spark.read.schema("canon long, cnt long, batch int").parquet(f"{path}/counts"))
 
 
+def streamed_junctions(spark, sf_dir):
+    """The junction table of reads that arrive as FASTQ files, a few at a time, merged batch by batch."""
+    path = _landing(spark, sf_dir)
+    solid = written(solid_kmers(spark, sf_dir))
+    sites = junctions.sites(_valid(spark, sf_dir, solid), K, J)
+    keys = written(junctions.junction_keys(sites, kmers.oriented(solid, K), K, J))
+    streams.start_junctions(spark, f"{path}/landing", solid, keys, K, J, f"{path}/junctions", f"{path}/progress", files_a_batch=8).awaitTermination()
+    rows = spark.read.schema(streams.JUNCTION + ", batch int").parquet(f"{path}/junctions").drop("batch")
+    return sinks.junction_lines(streams.merge_junctions(rows, rows.limit(0)), K)
+
+
 def kmer_lines(spark, sf_dir):
     """Both k-mers of lines of k + 1 bases, the heads of reads; bad counts shorter ones."""
     lines = reads(spark, sf_dir).select(F.substring("seq", 1, K + 1).alias("value"))
@@ -434,7 +451,7 @@ def fastg_headers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        reads, read_codes, file_reads, streamed_counts, kmer_lines, fragments, kmer_count, solid_kmers, kmer_spectrum, kmer_strings, mercy_kmers, kmer_extensions, jcheck_1, jcheck_2, valid_extensions, valid_fragments, junction_keys, junction_coverage,
+        reads, read_codes, file_reads, streamed_counts, streamed_junctions, kmer_lines, fragments, kmer_count, solid_kmers, kmer_spectrum, kmer_strings, mercy_kmers, kmer_extensions, jcheck_1, jcheck_2, valid_extensions, valid_fragments, junction_keys, junction_coverage,
         junction_opposites, junction_links, junction_table, spacer_sites, junction_ways, fake_junctions, solidity_histogram, short_pairs, long_pairs, pair_scores, insert_sizes, pair_distances, scan_summary, unitigs, junction_contigs, cleaned_contigs, contig_incidence, tips, bubbles, chimeras,
         collapsible_nodes, inverted_repeats, degenerate_nodes, isolated_contigs, longest_contig, contig_coverage_stats, coverage_equivalence, coverage_difference, bloom_hashes, bloom_sizing, bloom_members,
         crossings, crossing_votes, loops, bulges, long_bulges, contig_junctions, contig_results, pair_candidates, graph_problems, contig_output, fasta_records, fastg_records, fastg_headers,

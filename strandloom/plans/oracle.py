@@ -120,6 +120,7 @@ def sql(k: int, j: int, read_length: int, spacer: int) -> dict[str, str]:
                 {_turn(f"substr(seq, coalesce(pt // 2, {j}) + 1, tpos // 2 - coalesce(pt // 2, {j}) + {k})")} FROM lw),
         bw AS (SELECT x, index, bool_or(far IS NOT NULL) AS linked, arg_max({{'far': far, 'fi': fi, 's': s, 'd': dist}}, (far IS NOT NULL, dist)) AS w FROM yw GROUP BY x, index)
         SELECT {_number('x')} AS kmer, CAST(index AS INTEGER) AS index, linked, CAST(w.d AS INTEGER) AS dist, CASE WHEN linked THEN {_number('w.far')} END AS far, CASE WHEN linked THEN CAST(w.fi AS INTEGER) END AS far_index, md5({_bases('w.s')}) AS seq_md5 FROM bw"""
+    q["streamed_junctions"] = q["junction_table"]
     fake = f"""{sites}, fk AS (SELECT v.*, length(seq) // 2 - {k // 2} AS p FROM v WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.read_id = v.read_id AND m.run_no = v.run_no))"""
     q["fake_junctions"] = f"""{fake} SELECT read_id, frag_no, run_no, {_number(f'substr(seq, p + 1, {k})')} AS kmer, CAST(substr(seq, p + 1 + {k}, 1) AS INTEGER) AS ext,
         CAST(2 * p + 1 - {2 * j} AS INTEGER) AS dist_back, CAST(2 * length(seq) - 2 * p - {2 * k + 2 * j} AS INTEGER) AS dist_on FROM fk"""

@@ -42,14 +42,17 @@ def written(df: DataFrame) -> DataFrame:
 
 
 class Grown:
-    """A table that is added to: parts go to one folder, so that reading it stays one scan however many there are."""
+    """A table that is added to: parts go below one folder, so that reading it stays one scan however many there are."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path, self.schema = spark, f"{folder(spark)}/{uuid.uuid4().hex}", None
+        self.spark, self.path, self.schema, self.parts = spark, f"{folder(spark)}/{uuid.uuid4().hex}", None, 0
 
-    def add(self, df: DataFrame) -> None:
-        df.write.mode("append").option("compression", "zstd").parquet(self.path)
-        self.schema = df.schema
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes df and returns it as it is read from there."""
+        path = f"{self.path}/{self.parts}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.schema, self.parts = df.schema, self.parts + 1
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)

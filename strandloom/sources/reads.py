@@ -63,7 +63,7 @@ def read_sequences(spark: SparkSession, path: str | list[str], fastq: bool = Fal
 
 def read_stream(spark: SparkSession, folder: str, files_a_batch: int = 100, fastq: bool = False) -> DataFrame:
     """seq, as a stream, of the sequences in a folder: of files with one sequence a line or FASTA (headers go), or of FASTQ files, whose
-    records have four lines. A FASTQ file is one row of the stream, cut into its records at once; files beyond 2 GB don't fit."""
+    records have four lines. A FASTQ file is one row of this stream, cut into its records at once, so of 2 GB at most; each_files() takes any."""
     rows = spark.readStream.option("maxFilesPerTrigger", files_a_batch)
     if not fastq:
         return rows.text(folder).where(~F.col("value").startswith(">")).select(F.col("value").alias("seq"))
@@ -71,6 +71,25 @@ def read_stream(spark: SparkSession, folder: str, files_a_batch: int = 100, fast
     return rows.text(folder, wholetext=True).select(F.explode(F.filter(lines, lambda x, i: i % 4 == 1)).alias("seq"))
 
 
+#: The columns of a file source that has a row a file; of these only the path is asked for, so that no content is read.
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def each_files(spark: SparkSession, folder: str, put, checkpoint: str, fastq: bool = False, files_a_batch: int = 100):
+    """Starts a stream over the files that arrive in a folder: put(reads, number) is called with the reads (as read_sequences() has them; read_id
+    is of its own over all batches) of each batch of files. What streams is the files' names; a batch's files are then read as any
+    others, in as many tasks as their size asks for, so that a file may have any size. Ends when there are no more."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        paths = [r.path for r in batch.select("path").collect()]  # files_a_batch at most
+        if paths:
+            found = read_sequences(batch.sparkSession, paths, fastq)
+            put(found.withColumns({"read_id": F.col("read_id") + (number << 40), "pair_id": F.col("pair_id") + (number << 39)}), number)
+
+    names = spark.readStream.format("binaryFile").schema(_FILE).option("maxFilesPerTrigger", files_a_batch).load(folder).select("path")
+    return names.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_junctions(spark: SparkSession, path: str) -> DataFrame:
     """kmer (string), dist, cov and linked from lines of the text form."""
     part = F.split(F.trim("value"), r"\s+")

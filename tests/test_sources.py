@@ -113,6 +113,43 @@ def test_fastq_stream(spark, tmp_path):
     assert sorted(r.seq for r in spark.table("fq").collect()) == sorted("ACGT" * (i + 2) for i in range(5))
 
 
+def test_files_of_any_size_arrive_in_batches(spark, tmp_path):
+    """Files are cut into many tasks; a stream that is started again takes up the new ones only, and a batch that ran before its end runs again."""
+    import random
+
+    from strandloom.operators import junctions
+
+    k, j, rnd = 9, 1, random.Random(4)
+    genome = "".join(rnd.choice("ACGT") for _ in range(400))
+    other = genome[:200] + ("A" if genome[200] != "A" else "C") + genome[201:]
+    reads = [(lambda g, p: g[p : p + 40])(rnd.choice([genome, other]), rnd.randrange(361)) for _ in range(240)]
+    (tmp_path / "in").mkdir()
+    put = lambda n, part: (tmp_path / "in" / f"{n}.fq").write_text("".join(f"@r\n{s}\n+\n{'@' * len(s)}\n" for s in part))
+    put(0, reads[:100]), put(1, reads[100:150])
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    solid = kmers.solid(kmers.kmer_counts(kmers.fragments(df, k), k)).cache()
+    valid = kmers.valid_fragments(kmers.fragments(df, k, 2 * j + 1), solid, k).cache()
+    sites = junctions.sites(valid, k, j)
+    keys = junctions.junction_keys(sites, kmers.oriented(solid, k), k, j).cache()
+    start = lambda: stream.start_junctions(spark, f"{tmp_path}/in", solid, keys, k, j, f"{tmp_path}/out", f"{tmp_path}/cp", files_a_batch=1).awaitTermination()
+    merge = lambda: stream.junction_state(spark, f"{tmp_path}/out").writeStream.format("memory").queryName("state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        start()
+        put(2, reads[150:])
+        start()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+    merge()
+    want = sorted(map(str, junctions.junctions(junctions.junction_sites(sites, keys), j).collect()))
+    assert sorted(map(str, spark.table("state").collect())) == want and len(want) > 1
+    stream.start_file_counts(spark, f"{tmp_path}/in", k, f"{tmp_path}/counts", f"{tmp_path}/cp2").awaitTermination()
+    got = {(r.canon, r.cnt) for r in stream.total_counts(spark.read.parquet(f"{tmp_path}/counts")).collect()}
+    assert got == {(r.canon, r.cnt) for r in kmers.kmer_counts(kmers.fragments(df, k), k).collect()}
+
+
 def test_long_sequences_are_packed_in_one_pass(spark):
     import random
 
