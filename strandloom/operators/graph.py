@@ -97,6 +97,16 @@ def with_outs(at: DataFrame) -> DataFrame:
     return at.withColumns({"outs": F.count_if(F.col("ind") < BACK).over(node), "has_back": F.count_if(F.col("ind") == BACK).over(node) > 0})
 
 
+def by_node(contigs: DataFrame) -> DataFrame:
+    """node, outs, backs, loops (a contig that comes back to the node), and what is ahead and back (contig_id and side; of several the largest),
+    with ends, all of them. One aggregate, of five rows a node."""
+    end, own = F.struct("contig_id", "side"), F.col("ind") == BACK
+    return incidence(contigs).groupBy("node").agg(
+        F.count_if(~own).alias("outs"), F.count_if(own).alias("backs"), F.coalesce(F.bool_or(F.col("far") == F.col("node")), F.lit(False)).alias("loops"),
+        F.max(F.when(~own, end)).alias("front"), F.max(F.when(own, end)).alias("back"), F.collect_list(end).alias("ends"),
+    )
+
+
 def tips(contigs: DataFrame, read_length: int) -> DataFrame:
     """contig_id of the contigs that a pass of tip removal takes out: shorter than a read, and at the far end nothing, or the node itself.
     Ahead of a node they go in the order of their base while another remains; back they all go."""
