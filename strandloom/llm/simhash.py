@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, ordered, pieces, table, written
-from .similar import roots_of, shared_buckets, with_bands
+from .common import components, drop_written, ordered, pieces, table, written
+from .similar import BAND_HASHES, RANGES, roots_of, shared_buckets
 
 _STEP = 4096  # shingles whose bits are counted at a time
 
@@ -92,23 +93,48 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     and more, so MinHash bands find the candidates (similar.with_bands: at 0.8 with a probability of 0.97), all pairs of a
     band's bucket meet, and the sets decide. Equal sets are one class. Texts without words are left to the fingerprints."""
 
+    texts = docs.select("key", "text")
+    rows = written(_over_sets(texts, "key long, same long, size int, bands array<long>", lambda s: [_digest(s), len(s), numpy_bands(s)], width))
+    equal = rows.groupBy("same").agg(F.min("key").alias("lid"))
+    named = written(rows.join(equal, "same").select("key", "lid", "size", "bands"))
+    met = written(shared_buckets(named.where("key = lid").select("lid", "size", "bands")))
+    # the sets themselves, of those rows alone that share a bucket
+    wanted = texts.join(met.select(F.col("lid").alias("key")).distinct(), "key", "left_semi")
+    sets = written(_over_sets(wanted, "lid long, set array<long>, size int", lambda s: [s, len(s)], width))
+    roots = roots_of(met, sets, similarity)
+    same = named.where("key <> lid").select(F.col("key").alias("a"), F.col("lid").alias("b"))
+    found = components(same.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    for done in (rows, named, met, sets, roots):
+        drop_written(done)
+    return found
+
+
+def _digest(hashes: np.ndarray, seed: int = 0) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed)).astype(np.int64))
+
+
+def numpy_bands(hashes: np.ndarray) -> list[int | None]:
+    """Bands of different hashes in order, as similar.with_bands() makes them: of each range the smallest ones."""
+    cuts = [*np.searchsorted(hashes, [i * (1 << 64) // RANGES - (1 << 63) for i in range(RANGES)]).tolist(), len(hashes)]
+    return [_digest(hashes[x : min(x + BAND_HASHES, y)], i) if x < y else None for i, (x, y) in enumerate(itertools.pairwise(cuts))]
+
+
+def _over_sets(texts: DataFrame, schema: str, values, width: int) -> DataFrame:
+    """A row (key, *values(set)) for each of (key, text) that has words; set: the hashes of its `width` words in a row, in order."""
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}[c.split()[1]] for c in schema.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in pieces(batch)):
-            sets = []
-            for t in b.column("text").to_pylist():
+            rows = []
+            for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                 words = (t or "").encode().lower().split()
-                found = {b" ".join(words[i : i + width]) for i in range(max(len(words) - width + 1, 1))} if words else ()
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+                if words:
+                    found = {b" ".join(words[i : i + width]) for i in range(max(len(words) - width + 1, 1))}
+                    rows.append([key, *values(np.unique(np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).astype(np.int64)))])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    rows = docs.select("key", "text").mapInArrow(run, "key long, set array<long>").where("size(set) > 0")
-    rows = written(rows.withColumn("same", F.xxhash64("set")).withColumn("size", F.size("set")))
-    equal = rows.groupBy("same").agg(F.min("key").alias("lid"))
-    sets = written(rows.join(equal, "same").where("key = lid").select("lid", "set", "size"))
-    met = written(shared_buckets(with_bands(sets)))
-    roots = roots_of(met, sets, similarity)
-    same = rows.join(equal, "same").where("key <> lid").select(F.col("key").alias("a"), F.col("lid").alias("b"))
-    return components(same.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return texts.mapInArrow(run, schema)
 
 
 def keep_one_of_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
