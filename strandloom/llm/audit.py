@@ -80,7 +80,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, filter_order, step, COUNTS and shapley: 600 rows a part, zeros included.
 
     A row counts once, also where it repeats another; it is good or toxic if any label of its doc_id says so. Null texts are
-    empty, a null source is the part '', and a null doc_id comes after all others. Other columns aren't read. No rows: no parts.
+    empty, a null source is the part '', and a null doc_id comes after all others and has no label. Other columns aren't read. No rows: no parts.
     Documents are counted by the filters that they fail (32 sets a part at most), which go along 80 edges; an order is a path of
     five of them, so 600 steps of a fixed table are joined to the sums.
     """

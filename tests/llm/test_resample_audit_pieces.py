@@ -92,7 +92,7 @@ def test_ranks_over_many_pieces(spark):
 
 def audit_by_force(rows, labels):
     rows = [(i, t or "", s or "") for i, t, s in rows]
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, x in labels if x == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, x in labels if x == 1 and i is not None}
 
     def fails(i, t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
