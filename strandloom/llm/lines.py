@@ -1,25 +1,133 @@
-"""Fuzzy line dedup by MinHash, in DataFrame operations only."""
+"""Fuzzy line dedup by MinHash. Lines are cut, joined and linked in DataFrame operations; their shingles are hashed in numpy,
+a block of lines at a time (see the README: at every character, DataFrame functions don't meet the limits)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, ordered, table, written
-from .similar import roots_of, shared_buckets, with_bands
+from .similar import roots_of, shared_buckets
 
 #: Characters of a shingle, least Jaccard similarity of a link.
 SHINGLE, SIMILARITY = 12, 0.8
+#: Ranges that a line's hashes fall into, and smallest hashes of a range that make its band: a pair of similarity 0.8 shares one
+#: of the bands with a probability of 0.997.
+RANGES, BAND_HASHES = 8, 3
 #: White space that is taken from a line's ends.
 _SPACE = " \t\r\f\x0b"
-
-
-def shingles(line, length: int = SHINGLE, by=F.xxhash64):
-    """Distinct hashes (by xxhash64 or hash, of 64 or 32 bits) of the shingles of a line: the `length` characters from each place where a word begins, and in a run of
-    more than `length` characters without white space from each character that has as many from it on in the run. A character
-    put in or taken out changes only the shingles that hold it. No character lies outside them all."""
-    found = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{1,%d}+))(?:\S{1,%d}+(?!\S)\s*+|\S)" % (length, length)), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda s: by(s)))
+#: Characters and lines hashed at once, at most (a longer line is a block by itself); bits of a hash beside the line's number.
+BLOCK_CHARS, BLOCK_LINES, HASH_BITS = 1 << 17, 1 << 17, 44
+#: Fills up a line shorter than a shingle: a code that no valid text holds.
+_FILL = "\ud800"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: shifts and odd factors, so different values stay different."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(lines: list[str], length: int = SHINGLE) -> np.ndarray:
+    """The different shingles of each line, sorted, as line's number << HASH_BITS | hash: `length` characters from every
+    character that has as many from it on. A shorter line is one shingle."""
+    lines = [x if len(x) >= length else x.ljust(length, _FILL) for x in lines]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = _mixed(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    # hashes of runs of 1, 2, 4 ... codes; those of the bits of `length` put together
+    run, width, whole, done, factor = codes, 1, None, 0, int(_ODD)
+    while True:
+        if length & width:
+            whole = run.copy() if whole is None else whole[: len(run) - done] * np.uint64(factor) + run[done:][: len(whole)]
+            done += width
+        if width * 2 > length:
+            break
+        run = run[:-width] * np.uint64(factor) + run[width:]
+        width, factor = 2 * width, factor * factor % (1 << 64)
+    ends = np.cumsum(sizes)
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes - length + 1)
+    counts = sizes - length + 1
+    at = np.arange(len(line)) + np.repeat(ends - sizes - (np.cumsum(counts) - counts), counts)
+    found = (line << np.uint64(HASH_BITS)) | (_mixed(whole[at]) >> np.uint64(64 - HASH_BITS))
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]]
+
+
+def bands_of(lines: list[str], length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of each line, bands of each line, and all their bands, line by line.
+
+    One permutation serves for all bands, as in similar.with_bands: hashes are cut into RANGES ranges by their value, the
+    BAND_HASHES smallest of a range (all, if it has fewer) make its band, and an empty range has none.
+    """
+    found = shingles(lines, length)
+    line, value = found >> np.uint64(HASH_BITS), found & np.uint64((1 << HASH_BITS) - 1)
+    part = line * np.uint64(RANGES) + (value * np.uint64(RANGES) >> np.uint64(HASH_BITS))
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(part)))
+    band = part[starts] % np.uint64(RANGES)
+    for i in range(BAND_HASHES):
+        has = sizes > i
+        band[has] = _mixed(band[has] * _ODD + value[starts[has] + i])
+    count = lambda x: np.bincount(x.astype(np.int64), minlength=len(lines))
+    return count(line), count(line[starts]), band.view(np.int64)
+
+
+def alike(a: list[str], b: list[str], similarity: float, length: int = SHINGLE) -> np.ndarray:
+    """Of pairs of lines, which have a Jaccard similarity of `similarity` or more, by all their shingles."""
+    x, y = shingles(a, length), shingles(b, length)
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    count = lambda v: np.bincount((v >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(a))
+    common = count(both[:-1][both[1:] == both[:-1]])
+    # in whole numbers of thousandths, so that a similarity of exactly the bound counts
+    bound = round(similarity * 1000)
+    return common * (1000 + bound) >= bound * (count(x) + count(y))
+
+
+def _blocks(sizes: list[int]) -> Iterator[slice]:
+    """Runs of lines of BLOCK_CHARS characters together, or one longer line."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > BLOCK_CHARS or i - start >= BLOCK_LINES):
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def _with_bands(lines: DataFrame, length: int) -> DataFrame:
+    """key, no, lid, size (number of shingles) and bands of lines (key, no, lid, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("line").to_pylist()
+            for s in _blocks([len(x) for x in texts]):
+                size, n, band = bands_of(texts[s], length)
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(band))
+                kept = [batch.column(c).slice(s.start, s.stop - s.start) for c in ("key", "no", "lid")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(size, pa.int32()), bands], ["key", "no", "lid", "size", "bands"])
+
+    return lines.select("key", "no", "lid", "line").mapInArrow(run, "key long, no int, lid long, size int, bands array<long>")
+
+
+def _alike(similarity: float, length: int):
+    """alike() for columns."""
+
+    @F.pandas_udf("boolean")
+    def decide(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b = a.tolist(), b.tolist()
+        found = [alike(a[s], b[s], similarity, length) for s in _blocks([len(x) + len(y) for x, y in zip(a, b)])]
+        return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
+
+    return decide
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -31,17 +139,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHINGLE) -> DataFrame:
     """key, no, root and first (smallest key that has a line of the root) of the lines that others repeat or resemble.
 
-    Copies are one line throughout. Lines that share a MinHash band (similar.with_bands) are candidates; the Jaccard
-    similarity of all their shingles decides, and links make components (similar.roots_of). What moves up to there are
-    hashes; the shingles of lines that share a bucket are made from their texts again.
+    Copies are one line throughout. Lines that share a MinHash band (bands_of) are candidates; the Jaccard similarity of
+    all their shingles decides, and links make components (similar.roots_of). What moves up to there are hashes; only of
+    lines that share a bucket do the texts move, once to each line they are compared with.
     """
-    hashes = lines_of(docs).select("key", "no", "lid", shingles("line", length).alias("set"))
-    places = written(with_bands(hashes.withColumn("size", F.size("set"))).select("key", "no", "lid", "size", "bands"), "snappy")
+    places = written(_with_bands(lines_of(docs), length), "snappy")
     kinds = written(places.groupBy("lid", "size", "bands").agg(F.count("*").alias("n"), F.min("key").alias("first")), "snappy")
     met = written(shared_buckets(kinds))
-    shared = written(met.select("lid").distinct().join(kinds, "lid").select("lid", "n", "first"))
-    sets = _sets(docs, shared.select("lid", "first"), length)
-    roots = roots_of(met, sets, similarity)
+    shared = written(met.select("lid").distinct().join(kinds, "lid").select("lid", "size", "n", "first"))
+    texts = _texts(docs, shared.select("lid", "size", "first"))
+    roots = roots_of(met, texts, similarity, _alike(similarity, length))
 
     # copies, and single lines that share a bucket: no others can be linked
     some = kinds.where("n > 1").select("lid", "n", "first").unionByName(shared.where("n = 1").select("lid", "n", "first"))
@@ -50,17 +157,17 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, length: int =
     whole = named.groupBy("root").agg(F.min("first").alias("first"))
     classes = named.select("lid", "root").join(whole, "root").select("lid", "root", "first")
     found = written(places.select("key", "no", "lid").join(classes, "lid").select("key", "no", "root", "first"))
-    for done in (places, kinds, met, shared, sets, roots, named):
+    for done in (places, kinds, met, shared, texts, roots, named):
         drop_written(done)
     return found
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """lid, size and set (all shingles, as 32-bit hashes) of each wanted line, from the text of the first row that has it."""
-    found = docs.select("key", "text").join(wanted.groupBy(F.col("first").alias("key")).agg(F.collect_list("lid").alias("lids")), "key")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """lid, size and set (the line itself) of each wanted line, from the text of the first row that has it."""
+    of = wanted.groupBy(F.col("first").alias("key")).agg(F.collect_list(F.struct("lid", "size")).alias("lids"))
     once = F.array_distinct(F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE))))
-    lines = found.select("lids", F.explode(once).alias("line")).withColumn("lid", F.xxhash64("line")).where(F.array_contains("lids", F.col("lid")))
-    return written(lines.select("lid", shingles("line", length, F.hash).alias("set")).withColumn("size", F.size("set")))
+    lines = docs.select("key", "text").join(of, "key").select("lids", F.explode(once).alias("set")).withColumn("lid", F.xxhash64("set"))
+    return written(lines.withColumn("size", F.expr("get(filter(lids, x -> x.lid = lid), 0).size")).where("size is not null").select("lid", "size", "set"))
 
 
 def without_fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHINGLE) -> DataFrame:

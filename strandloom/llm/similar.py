@@ -54,21 +54,23 @@ def alike(a: str, b: str, similarity: float) -> str:
     return f"size(array_intersect({a}, {b})) * (1 + {similarity}) >= {similarity} * (size({a}) + size({b}))"
 
 
-def roots_of(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def roots_of(met: DataFrame, sets: DataFrame, similarity: float, decide=None) -> DataFrame:
     """node and root of all lids linked by pairs of `similarity` or more that share a bucket, directly or through others.
 
-    met: shared_buckets(), sets: set and size by lid. First every set of a bucket meets the leader. Where a bucket then holds
+    met: shared_buckets(), sets: set and size by lid; decide: what tells of two columns of sets whether they are alike, by
+    default alike() of arrays. First every set of a bucket meets the leader. Where a bucket then holds
     sets of several components, more of them lead, those with most links first: LEADERS, then MORE times as many in each
     round, and each meets all sets of other components that have not led. It ends when no bucket has two sets left that
     have not met and are of different components, so that the components are those of all pairs of every bucket. Pairs
     whose sizes alone rule the similarity out are passed over. In the rounds a set goes once to each of its buckets, and
     sets are compared within the join, which puts out links only; adaptive execution splits a bucket that is large.
     """
+    decide = decide or (lambda a, b: F.expr(alike(a, b, similarity)))
     pairs = met.where("lid <> leader").select(F.col("leader").alias("a"), F.col("lid").alias("b"), F.col("size").alias("size_b")).distinct()
     a = sets.select(F.col("lid").alias("a"), F.col("set").alias("set_a"), F.col("size").alias("size_a"))
     b = sets.select(F.col("lid").alias("b"), F.col("set").alias("set_b"))
     near = pairs.join(a, "a").where(close("size_a", "size_b", similarity)).drop("size_a", "size_b")
-    links = written(near.join(b, "b").where(alike("set_a", "set_b", similarity)).select("a", "b"))
+    links = written(near.join(b, "b").where(decide("set_a", "set_b")).select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count("*").alias("degree"))
     order = Window.partitionBy("band").orderBy(F.desc_nulls_last("degree"), F.xxhash64("lid", "band"))
     roots = written(components(links))
@@ -86,8 +88,8 @@ def roots_of(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         whole = named.join(sets.select("lid", "set"), "lid")
         a = whole.where(f"rank <= {leaders}").selectExpr("band as band_a", "root as root_a", "rank as rank_a", "size as size_a", "set as set_a")
         b = whole.selectExpr("band", "root as root_b", "rank as rank_b", "size as size_b", "set as set_b")
-        meet = f"band = band_a and rank_a < rank_b and root_a <> root_b and {close('size_a', 'size_b', similarity)} and {alike('set_a', 'set_b', similarity)}"
-        joined = written(a.join(b, F.expr(meet)).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+        meet = f"band = band_a and rank_a < rank_b and root_a <> root_b and {close('size_a', 'size_b', similarity)}"
+        joined = written(a.join(b, F.expr(meet)).where(decide("set_a", "set_b")).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
         wider = written(components(joined))
         new = roots.withColumnRenamed("root", "was").join(wider.select(F.col("node").alias("was"), "root"), "was", "left").select("node", F.coalesce("root", "was").alias("root"))
         more = written(new.unionByName(wider.join(roots.select("node"), "node", "left_anti")))

@@ -260,12 +260,15 @@ def test_toxicity_on_odd_tables(spark, odd, docs):
 # --- 5 --------------------------------------------------------------------------------------------------------------------------
 
 
+def every_shingle(line, length=12):
+    return {line[i : i + length] for i in range(max(1, len(line) - length + 1))}
+
+
 def fuzzy_by_force(rows, similarity=0.8):
     """Texts without the lines that repeat, in the order of the rows, and the components' number."""
-    cut = re.compile(r"(?s)(?=(.{1,12}))\S{1,10}\s*")
     strip = lambda x: x.strip(" \t\r\f\x0b")
     known = list(dict.fromkeys(strip(x) for t in rows for x in t.split("\n") if strip(x)))
-    sets = [set(cut.findall(x)) for x in known]
+    sets = [every_shingle(x) for x in known]
     root = list(range(len(known)))
 
     def find(x):
@@ -333,8 +336,7 @@ def test_lines_of_a_large_family(spark):
         for at in rnd.sample(range(50), 2):
             other[at] = f"{rnd.choice(WORDS)}{rnd.randrange(1000)}"
         rows.add(" ".join(other))
-    cut = re.compile(r"(?s)(?=(.{1,12}))\S{1,10}\s*")
-    sets = {x: set(cut.findall(x)) for x in rows}
+    sets = {x: every_shingle(x) for x in rows}
     near = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
     rows = [x for x in sorted(rows) if near(x, " ".join(words)) >= 0.8]
     some = [near(*rnd.sample(rows, 2)) for _ in range(2000)]
@@ -384,9 +386,52 @@ def test_lines_on_odd_rows(odd):
     assert {r.text for r in got if r.doc_id in (1, 2)} == {""} and [r.text for r in got if r.doc_id == 4] == ["\n\n"]
 
 
-def test_lines_use_no_python(spark, capsys):
-    lines.op5_lines(spark, SF).explain()
-    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+def test_shingles_of_lines(odd):
+    """Sizes, bands and similarities in blocks, against sets of strings."""
+    rnd = random.Random(24)
+    some = ["".join(rnd.choice("abcde fgh\u65e5\u672c\U0001f600\0") for _ in range(rnd.choice([1, 3, 11, 12, 13, 40, 300]))) for _ in range(1500)]
+    other = [rnd.choice([x, x[:k] + "z" + x[k:], x[:k], x + "\0"]) or "q" for x in some for k in [rnd.randrange(len(x))]]
+    sets, others = [every_shingle(x) for x in some], [every_shingle(x) for x in other]
+    size, n, band = lines.bands_of(some)
+    assert size.tolist() == [len(x) for x in sets] and len(band) == n.sum() and n.min() >= 1 and n.max() == lines.RANGES
+    again = [lines.bands_of([x]) for x in some]
+    assert np.concatenate([x[2] for x in again]).tolist() == band.tolist()
+    want = [len(x & y) * 10 >= 8 * len(x | y) for x, y in zip(sets, others)]
+    assert lines.alike(some, other, 0.8).tolist() == want and 100 < sum(want) < 1400
+    assert [len(x) for x in lines.bands_of([])] == [0, 0, 0]
+
+
+def test_lines_of_the_documents_at_every_character(spark):
+    """Recall and precision of links on the distinct lines of the 0.01 tables, against all pairs that share a shingle."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    known = sorted({x.strip(" \t\r\f\x0b") for (t,) in docs.select("text").collect() for x in (t or "").split("\n")} - {""})
+    sets = [every_shingle(x) for x in known]
+    of = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for y in x:
+            of[y].append(i)
+    common = collections.defaultdict(int)
+    for group in of.values():
+        for pair in itertools.combinations(group, 2):
+            common[pair] += 1
+    links = [p for p, n in common.items() if n * 10 >= 8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    rows = spark.createDataFrame(list(enumerate(known)), "key long, text string")
+    root = {r.key: r.root for r in lines.line_classes(rows).collect()}
+    assert len(links) >= 100 and sum(a in root and root[a] == root.get(b) for a, b in links) >= 0.95 * len(links)
+    apart = dict(enumerate(range(len(known))))
+
+    def find(x):
+        while apart[x] != x:
+            x = apart[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        apart[b] = a
+    whole = collections.defaultdict(set)
+    for i, r in root.items():
+        whole[r].add(find(i))
+    assert all(len(x) == 1 for x in whole.values())  # nothing linked that brute force keeps apart
 
 
 # --- 6 and 9 --------------------------------------------------------------------------------------------------------------------
