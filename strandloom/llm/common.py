@@ -104,8 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(now)
-    while mark[0]:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -113,13 +112,13 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         drop_written(now)
-        was, now, mark = mark, after, _mark(after)
-        if mark == was:
-            break
+        now = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    x = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(x.bitwiseAND(0xFFFFFFFF)), F.bit_xor(x)).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """That every larger end has one link, and is no link's smaller end: the smaller ends are then the roots."""
+    ends = edges.selectExpr("stack(2, u, 1, v, 0) as (node, larger)")
+    nodes = ends.groupBy("node").agg(F.sum("larger").alias("n"), F.min("larger").alias("least"))
+    return nodes.where("n > 1 or n = 1 and least = 0").isEmpty()

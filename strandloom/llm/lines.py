@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, ordered, table, written
-from .similar import roots_of, shared_buckets
+from .similar import SKETCH_LONGS, roots_of, shared_buckets
 
 #: Characters of a shingle, least Jaccard similarity of a link.
 SHINGLE, SIMILARITY = 12, 0.8
@@ -23,6 +23,8 @@ RANGES, BAND_HASHES = 8, 3
 _SPACE = " \t\r\f\x0b"
 #: Characters and lines hashed at once, at most (a longer line is a block by itself); bits of a hash beside the line's number.
 BLOCK_CHARS, BLOCK_LINES, HASH_BITS = 1 << 17, 1 << 17, 44
+#: Lines sketched at once, at most.
+SKETCH_LINES = 1 << 10
 #: Fills up a line shorter than a shingle: a code that no valid text holds.
 _FILL = "\ud800"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,11 +93,21 @@ def alike(a: list[str], b: list[str], similarity: float, length: int = SHINGLE)
     return common * (1000 + bound) >= bound * (count(x) + count(y))
 
 
-def _blocks(sizes: list[int]) -> Iterator[slice]:
-    """Runs of lines of BLOCK_CHARS characters together, or one longer line."""
+def sketches(lines: list[str], length: int = SHINGLE) -> np.ndarray:
+    """For similar.may_be_alike(), a row of SKETCH_LONGS longs a line: bit i is set if an odd number of the line's shingles have a
+    hash of i modulo the bits."""
+    bits = 64 * SKETCH_LONGS
+    found = shingles(lines, length)
+    at = (found >> np.uint64(HASH_BITS)) * np.uint64(bits) + found % np.uint64(bits)
+    odd = np.bincount(at.astype(np.int64), minlength=len(lines) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(lines), SKETCH_LONGS)
+
+
+def _blocks(sizes: list[int], most: int = BLOCK_LINES) -> Iterator[slice]:
+    """Runs of `most` lines and BLOCK_CHARS characters together, or one longer line."""
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and (total + n > BLOCK_CHARS or i - start >= BLOCK_LINES):
+        if i > start and (total + n > BLOCK_CHARS or i - start >= most):
             yield slice(start, i)
             start, total = i, 0
         total += n
@@ -130,6 +142,17 @@ def _alike(similarity: float, length: int):
     return decide
 
 
+def _sketched(length: int):
+    """sketches() for a column."""
+
+    @F.pandas_udf("array<long>")
+    def make(lines: pd.Series) -> pd.Series:
+        lines = lines.tolist()
+        return pd.Series([row for s in _blocks([len(x) for x in lines], SKETCH_LINES) for row in sketches(lines[s], length)], dtype=object)
+
+    return make
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """key, no (from 0), line (without white space at its ends) and lid, its 64-bit hash, of all lines but blank ones."""
     lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).withColumn("line", F.btrim("line", F.lit(_SPACE)))
@@ -148,7 +171,7 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, length: int =
     met = written(shared_buckets(kinds))
     shared = written(met.select("lid").distinct().join(kinds, "lid").select("lid", "size", "n", "first"))
     texts = _texts(docs, shared.select("lid", "size", "first"))
-    roots = roots_of(met, texts, similarity, _alike(similarity, length))
+    roots = roots_of(met, texts, similarity, _alike(similarity, length), _sketched(length))
 
     # copies, and single lines that share a bucket: no others can be linked
     some = kinds.where("n > 1").select("lid", "n", "first").unionByName(shared.where("n = 1").select("lid", "n", "first"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop_written, written
 
 #: Ranges that the hashes fall into, and smallest hashes of a range that make its band.
 RANGES, BAND_HASHES = 5, 3
-#: Sets that lead in a bucket's second round, and how many times as many in each one after it, until no set is left that has not met the others.
-LEADERS, MORE = 8, 64
+#: Sets that lead in a bucket's second round (all, if it has fewer; else so many on average), and how many times as many in each one after it, until no set is left that has not met the others.
+LEADERS, MORE = 64, 64
+#: Longs of a sketch.
+SKETCH_LONGS = 16
 
 
 def with_bands(rows: DataFrame, hashes: str = "set") -> DataFrame:
@@ -54,16 +56,25 @@ def alike(a: str, b: str, similarity: float) -> str:
     return f"size(array_intersect({a}, {b})) * (1 + {similarity}) >= {similarity} * (size({a}) + size({b}))"
 
 
-def roots_of(met: DataFrame, sets: DataFrame, similarity: float, decide=None) -> DataFrame:
+def may_be_alike(a: str, b: str, size_a: str, size_b: str, similarity: float) -> str:
+    """What the sketches of two sets of the similarity hold for certain. A sketch has a bit for each class of hashes, set if an
+    odd number of the set's are of it; where two sketches differ, the sets do, and at least as often."""
+    apart = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_LONGS))
+    bound = round(similarity * 1000)
+    return f"({apart}) * {1000 + bound}L <= {1000 - bound}L * ({size_a} + {size_b})"
+
+
+def roots_of(met: DataFrame, sets: DataFrame, similarity: float, decide=None, sketch=None) -> DataFrame:
     """node and root of all lids linked by pairs of `similarity` or more that share a bucket, directly or through others.
 
     met: shared_buckets(), sets: set and size by lid; decide: what tells of two columns of sets whether they are alike, by
-    default alike() of arrays. First every set of a bucket meets the leader. Where a bucket then holds
-    sets of several components, more of them lead, those with most links first: LEADERS, then MORE times as many in each
-    round, and each meets all sets of other components that have not led. It ends when no bucket has two sets left that
-    have not met and are of different components, so that the components are those of all pairs of every bucket. Pairs
-    whose sizes alone rule the similarity out are passed over. In the rounds a set goes once to each of its buckets, and
-    sets are compared within the join, which puts out links only; adaptive execution splits a bucket that is large.
+    default alike() of arrays; sketch: what makes of a column of sets arrays of longs for may_be_alike(), if any. First every
+    set of a bucket meets the leader. Where a bucket then holds sets of several components, more of them lead, dealt by hash:
+    LEADERS, then MORE times as many in each round, and each meets all sets of other components that have not led. It ends
+    when no bucket has two sets left that have not met and are of different components, so that the components are those of
+    all pairs of every bucket. Pairs whose sizes or sketches alone rule the similarity out are passed over. In the rounds a
+    set goes once to each of its buckets, and sets are compared within the join, which puts out links only; adaptive
+    execution splits a bucket that is large, and nothing numbers or sorts its sets.
     """
     decide = decide or (lambda a, b: F.expr(alike(a, b, similarity)))
     pairs = met.where("lid <> leader").select(F.col("leader").alias("a"), F.col("lid").alias("b"), F.col("size").alias("size_b")).distinct()
@@ -71,24 +82,30 @@ def roots_of(met: DataFrame, sets: DataFrame, similarity: float, decide=None) ->
     b = sets.select(F.col("lid").alias("b"), F.col("set").alias("set_b"))
     near = pairs.join(a, "a").where(close("size_a", "size_b", similarity)).drop("size_a", "size_b")
     links = written(near.join(b, "b").where(decide("set_a", "set_b")).select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count("*").alias("degree"))
-    order = Window.partitionBy("band").orderBy(F.desc_nulls_last("degree"), F.xxhash64("lid", "band"))
     roots = written(components(links))
-    left, leaders = met.where("lid <> leader").select("band", "lid", "size").join(degree, "lid", "left"), LEADERS
+    drop_written(links)
+    left, leaders, rich = met.where("lid <> leader").select("band", "lid", "size"), LEADERS, None
     while True:
         named = left.join(roots.withColumnRenamed("node", "lid"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-        mixed = named.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-        named = written(named.join(mixed, "band").withColumn("rank", F.row_number().over(order)))
+        mixed = named.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1")
+        leads = F.expr(f"pmod(xxhash64(lid, band), n) < {leaders}").alias("leads")
+        named = written(named.join(mixed, "band").select("band", "lid", "size", "root", leads))
         if leaders > LEADERS:
             drop_written(left)
         if named.isEmpty():
             drop_written(named)
-            drop_written(links)
+            if rich is not None:
+                drop_written(rich)
             return roots
-        whole = named.join(sets.select("lid", "set"), "lid")
-        a = whole.where(f"rank <= {leaders}").selectExpr("band as band_a", "root as root_a", "rank as rank_a", "size as size_a", "set as set_a")
-        b = whole.selectExpr("band", "root as root_b", "rank as rank_b", "size as size_b", "set as set_b")
-        meet = f"band = band_a and rank_a < rank_b and root_a <> root_b and {close('size_a', 'size_b', similarity)}"
+        if rich is None:
+            some = sets.select("lid", "set").join(named.select("lid").distinct(), "lid", "left_semi")
+            rich = written(some.withColumn("sketch", sketch("set") if sketch else F.array().cast("array<bigint>")))
+        whole = named.join(rich, "lid")
+        a = whole.where("leads").select(*(F.col(c).alias(f"{c}_a") for c in ("band", "lid", "size", "root", "set", "sketch")))
+        b = whole.select("band", "leads", *(F.col(c).alias(f"{c}_b") for c in ("lid", "size", "root", "set", "sketch")))
+        meet = f"band = band_a and root_a <> root_b and (not leads or lid_a < lid_b) and {close('size_a', 'size_b', similarity)}"
+        if sketch:
+            meet += f" and {may_be_alike('sketch_a', 'sketch_b', 'size_a', 'size_b', similarity)}"
         joined = written(a.join(b, F.expr(meet)).where(decide("set_a", "set_b")).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
         wider = written(components(joined))
         new = roots.withColumnRenamed("root", "was").join(wider.select(F.col("node").alias("was"), "root"), "was", "left").select("node", F.coalesce("root", "was").alias("root"))
@@ -96,6 +113,6 @@ def roots_of(met: DataFrame, sets: DataFrame, similarity: float, decide=None) ->
         for done in (roots, wider, joined):
             drop_written(done)
         # a bucket's leaders have met all others; the rest come again
-        left = written(named.where(f"rank > {leaders}").select("band", "lid", "size", "degree"))
+        left = written(named.where("not leads").select("band", "lid", "size"))
         drop_written(named)
         roots, leaders = more, MORE * leaders

@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import bpe, common, debruijn, decontaminate, lines, lm, paths, queries, sharding, simhash, suffix, topk, toxicity
+from strandloom.llm import bpe, common, debruijn, decontaminate, lines, lm, paths, queries, sharding, simhash, similar, suffix, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -795,3 +795,42 @@ def test_words_against_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = sorted(con.execute(debruijn.OP6_SQL).fetchall())
     assert sorted(map(tuple, debruijn.op6_debruijn(spark, SF).collect())) == want
+
+
+# --- parts of line dedup --------------------------------------------------------------------------------------------------------
+
+
+def test_sketches_pass_over_no_similar_pair(spark):
+    """What two sketches rule out is never a pair of the similarity, whatever the lines' lengths; most unlike pairs are ruled out."""
+    rng, pairs = random.Random(5), []
+    for n in (1, 11, 12, 13, 60, 300, 900, 4000):
+        for _ in range(12):
+            a = "".join(rng.choice("abcdef ") for _ in range(n))
+            b = list(a)
+            for _ in range(rng.randrange(0, 2 + n // 100)):
+                b[rng.randrange(n)] = rng.choice("xyz")
+            pairs += [(a, "".join(b)), (a, a[: n // 2] + "".join(rng.choice("uvw") for _ in range(n // 2)))]
+    a, b = map(list, zip(*pairs))
+    rows = [(i, x, y, int(lines.bands_of([x])[0][0]), int(lines.bands_of([y])[0][0])) for i, (x, y) in enumerate(pairs)]
+    make = lines._sketched(lines.SHINGLE)
+    df = spark.createDataFrame(rows, "i int, a string, b string, m int, n int").withColumn("s", make("a")).withColumn("t", make("b"))
+    got = {r.i: r.may for r in df.selectExpr("i", similar.may_be_alike("s", "t", "m", "n", 0.8) + " AS may").collect()}
+    want = lines.alike(a, b, 0.8)
+    assert all(got[i] for i in range(len(pairs)) if want[i]) and 20 < want.sum() < len(pairs)
+    assert sum(got.values()) - want.sum() < 0.2 * len(pairs)
+
+
+def test_components_of_stars_chains_and_circles(spark):
+    """Links that are stars already are left as they are; chains, circles, loops and repeated links come out as brute force has them."""
+    edges = [(5, 1), (6, 1), (5, 1), (9, 9)] + [(i, i + 1) for i in range(20, 60)] + [(70, 71), (71, 72), (72, 70), (-3, 80), (80, -7)]
+    for some in (edges[:3], edges, []):
+        root = {}
+        for a, b in some:
+            if a != b:
+                root.setdefault(a, a), root.setdefault(b, b)
+        for _ in range(len(root)):
+            for a, b in some:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = common.components(spark.createDataFrame(some, "a long, b long")).collect()
+        assert len(got) == len(root) and {r.node: r.root for r in got} == root
