@@ -90,3 +90,12 @@ def test_a_set_without_any_kmer(spark):
     _, _, frags, table = input_of(spark, 9, 1)
     assert kmers.valid_fragments(frags, table.limit(0), 9).count() == 0
     assert kmers.leading_on(table.where(F.lit(False)), 9, 1).count() == 0
+
+
+def test_own_valid_fragments_are_those_of_counted_kmers(spark):
+    k, extra = 7, 3
+    _, _, frags, _ = input_of(spark, k, 5)
+    reads = frags.groupBy("read_id").agg(F.array_join(F.sort_array(F.collect_list("seq")), "N").alias("seq"))
+    solid = kmers.solid(kmers.kmer_counts(kmers.fragments(reads, k), k))
+    want = kmers.valid_fragments(kmers.fragments(reads, k, extra), solid, k)
+    assert sorted(map(tuple, kmers.own_valid_fragments(reads, k, extra).collect())) == sorted(map(tuple, want.collect())) != []
