@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,12 +140,11 @@ def interior(contigs: DataFrame, k: int) -> DataFrame:
     place of a contig that has a coverage."""
 
     def rows(x: dict) -> dict:
-        at = np.cumsum(np.array([0, *x["distances"]], np.int64))[: len(x["coverages"])]
-        ok = (at >> 1) + k <= len(x["seq"])
-        return {"ord": np.arange(len(at))[ok], "distance": at[ok], "kmer": _kmers(x["seq"], at[ok] >> 1, k, False), "cov": np.asarray(x["coverages"])[ok]}
+        ok = (x["at"] >> 1) + k <= x["length"]
+        base = (x["base"] + (x["at"] >> 1))[ok]
+        return {"contig_id": x["contig_id"][ok], "ord": x["ord"][ok], "distance": x["at"][ok], "kmer": _kmers(x["codes"], base, k, False), "cov": x["cov"][ok]}
 
-    own = contigs.select("contig_id", "seq", F.col("distances").cast("array<long>").alias("distances"), F.col("coverages").cast("array<long>").alias("coverages"))
-    return _places(own, rows, {"ord": "int", "distance": "long", "kmer": "long", "cov": "int"})
+    return _places(contigs, [], rows, {"ord": "int", "distance": "long", "kmer": "long", "cov": "int"})
 
 
 def junction_results(contigs: DataFrame, k: int) -> DataFrame:
@@ -152,44 +152,74 @@ def junction_results(contigs: DataFrame, k: int) -> DataFrame:
     and from2, the half bases to it from the junctions at both ends. The k-mers at the ends of the contig have none outwards."""
 
     def rows(x: dict) -> dict:
-        at = np.cumsum(np.array([0, *x["distances"]], np.int64))[: len(x["coverages"])] + x["lead"]
-        real, last = np.where(at % 2 == 1, at + 2, at - 2), 2 * (len(x["seq"]) - k) + 1
+        at = x["at"] + x["lead"]
+        real, last = np.where(at % 2 == 1, at + 2, at - 2), 2 * (x["length"] - k) + 1
         ok = (real >= 0) & (real <= last)
-        real = real[ok]
-        ahead = real % 2 == 1
-        kmer = np.where(ahead, _kmers(x["seq"], real >> 1, k, False), _kmers(x["seq"], real >> 1, k, True))
-        return {"ord": np.arange(len(at))[ok], "kmer": kmer, "cov": np.asarray(x["coverages"])[ok], "from1": real - x["start1"], "from2": last - real - x["start2"]}
+        real, last = real[ok], last[ok]
+        return {
+            "contig_id": x["contig_id"][ok], "ord": x["ord"][ok], "kmer": _kmers(x["codes"], x["base"][ok] + (real >> 1), k, real % 2 == 0), "cov": x["cov"][ok],
+            "from1": real - x["start1"][ok], "from2": last - real - x["start2"][ok],
+        }
 
-    start = lambda c: F.coalesce((F.col(c) < BACK).cast("int"), F.lit(0))
-    own = contigs.select("contig_id", "seq", "lead", start("ind1").alias("start1"), start("ind2").alias("start2"), F.col("distances").cast("array<long>").alias("distances"), F.col("coverages").cast("array<long>").alias("coverages"))
-    return _places(own, rows, {"ord": "int", "kmer": "long", "cov": "int", "from1": "long", "from2": "long"})
+    start = lambda c: F.coalesce((F.col(c) < BACK).cast("long"), F.lit(0)).alias(f"start{c[-1]}")
+    more = [F.col("lead").cast("long").alias("lead"), start("ind1"), start("ind2")]
+    return _places(contigs, more, rows, {"ord": "int", "kmer": "long", "cov": "int", "from1": "long", "from2": "long"})
 
 
-_CODE = np.zeros(256, np.int64)
+_CODE = np.zeros(256, np.uint8)
 _CODE[list(b"ACTG")] = range(4)
+#: Bases and places of contigs that are looked at together (a longer contig is looked at by itself), and rows put out together.
+BLOCK_BASES, BLOCK_ROWS = 1 << 20, 20_000
 
 
-def _kmers(seq: str, at: np.ndarray, k: int, turned: bool) -> np.ndarray:
-    """The k-mers at these places, or their reverse complements."""
-    codes, out = _CODE[np.frombuffer(seq.encode(), np.uint8)], np.zeros(len(at), np.int64)
+def _kmers(codes: np.ndarray, at: np.ndarray, k: int, turned) -> np.ndarray:
+    """The k-mers from these places on; where turned, their reverse complements."""
+    here, back = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for i in range(k):
-        out = out * 4 + (codes[at + k - 1 - i] ^ 2 if turned else codes[at + i])
-    return out
+        c = codes[at + i].astype(np.int64)
+        here, back = here << 2 | c, back | (c ^ 2) << 2 * i
+    return np.where(turned, back, here)
 
 
-def _places(contigs: DataFrame, rows, kinds: dict[str, str]) -> DataFrame:
-    """A row for each place of a contig. Running sums along a contig are linear here; as array expressions they would take its square."""
+def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place and number of each list's values, and all values."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    return np.cumsum(size) - size, size, np.asarray(column.flatten()).astype(np.int64)
+
+
+def _places(contigs: DataFrame, more: list, rows, kinds: dict[str, str]) -> DataFrame:
+    """What rows() makes of all places of many contigs: of each place contig_id, ord, at (half bases from the contig's first k-mer), cov, length of
+    the contig, base (where it begins among the codes of all) and the columns more, longs. Running sums along a contig are linear here; as
+    array expressions they would take its square. No contig is looked at by itself but long ones."""
+    own = ["contig_id", "seq", "distances", "coverages"]
+
+    def blocks(batch: pa.RecordBatch):
+        size = np.asarray(pc.binary_length(batch.column(1))).astype(np.int64) + np.asarray(pc.list_value_length(batch.column(3))).astype(np.int64)
+        ends, at = np.cumsum(size), 0
+        while at < len(ends):
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_BASES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                x = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if x["coverages"] and x["seq"]:
-                    found = rows(x)
-                    cols = {"contig_id": pa.array(np.full(len(found["ord"]), x["contig_id"]), pa.int64())} | {c: pa.array(found[c].astype(np.int32 if t == "int" else np.int64)) for c, t in kinds.items()}
-                    yield pa.RecordBatch.from_pydict(cols)
-
-    return contigs.mapInArrow(run, ", ".join(["contig_id long", *(f"{c} {t}" for c, t in kinds.items())]))
+            for block in blocks(batch):
+                length = np.asarray(pc.binary_length(block.column(1))).astype(np.int64)
+                (first, steps, d), (cov_at, covs, cov) = _list(block.column(2)), _list(block.column(3))
+                n = np.where(length > 0, np.minimum(steps + 1, covs), 0)
+                which = np.repeat(np.arange(len(n)), n)
+                no = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                along = np.concatenate([[0], np.cumsum(d)])
+                x = {"contig_id": np.asarray(block.column(0))[which], "ord": no, "at": along[first[which] + no] - along[first[which]], "cov": cov[cov_at[which] + no]}
+                x |= {"length": length[which], "base": (np.cumsum(length) - length)[which], "codes": _CODE[np.frombuffer("".join(block.column(1).to_pylist()).encode(), np.uint8)]}
+                found = rows(x | {c: np.asarray(block.column(i))[which] for i, c in enumerate(block.schema.names) if i >= len(own)})
+                out = pa.RecordBatch.from_pydict({c: pa.array(found[c].astype(np.int32 if t == "int" else np.int64)) for c, t in ({"contig_id": "long"} | kinds).items()})
+                yield from (out.slice(i, BLOCK_ROWS) for i in range(0, out.num_rows, BLOCK_ROWS))
+
+    longs = [F.coalesce(F.col(c).cast("array<long>"), F.array().cast("array<long>")).alias(c) for c in own[2:]]
+    whole = contigs.select(F.col("contig_id").cast("long").alias("contig_id"), F.coalesce("seq", F.lit("")).alias("seq"), *longs, *more)
+    return whole.mapInArrow(run, ", ".join(["contig_id long", *(f"{c} {t}" for c, t in kinds.items())]))
 
 
 def collapsible(contigs: DataFrame) -> DataFrame:
