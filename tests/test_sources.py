@@ -160,3 +160,22 @@ def test_long_sequences_are_packed_in_one_pass(spark):
     df = spark.createDataFrame([(g,)], "seq string").select(dna.blocks("seq").alias("b")).select(*(dna.kmer_at("b", F.lit(p), 31).alias(f"k{p}") for p in (0, 17, 100_000, 199_972)))
     want = [int("".join(str("ACTG".index(x)) for x in g[p : p + 31]), 4) for p in (0, 17, 100_000, 199_972)]
     assert list(df.first()) == want
+
+
+def test_bloom_filter_against_plain_sets(spark, monkeypatch):
+    """Keys of several blocks, with a column beside them, a key twice and a null one; no row a bit is shuffled."""
+    monkeypatch.setattr(sketch, "BLOCK_KEYS", 64)
+    df = spark.range(-300, 700, 1, 3).select((F.col("id") * 7919).alias("x"), F.col("id").cast("string").alias("s"))
+    df = df.unionByName(df.where("x % 5 = 0")).unionByName(df.limit(1).select(F.lit(None).cast("long").alias("x"), "s"))
+    bits, n = sketch.optimal(300, 0.2)
+    h0, h1 = sketch.hash_column("x", 0, bits), sketch.hash_column("x", 1, bits)
+    rows = df.where("x is not null").select("x", "s", h0.alias("h0"), h1.alias("h1")).collect()
+    at = lambda r: {(r.h0 + i * r.h1) % bits for i in range(n)}
+    on = set().union(*(at(r) for r in rows if r.x % 3 == 0))
+    part = sketch.build(df.where("x % 3 = 0"), "x", bits, n)
+    found = sketch.contains(df, "x", part, bits, n)
+    want = sorted((r.x, r.s) for r in rows if at(r) <= on)
+    assert sorted(map(tuple, found.collect())) == want and len({x for x, _ in want if x % 3}) > 0 < len(rows) - len(want)
+    assert sketch.weight(part, bits).first().weight == len(on) / bits
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sketch.contains(df, "x", part.where("false"), bits, n).count() == 0
