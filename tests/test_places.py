@@ -99,3 +99,15 @@ def test_own_valid_fragments_are_those_of_counted_kmers(spark):
     solid = kmers.solid(kmers.kmer_counts(kmers.fragments(reads, k), k))
     want = kmers.valid_fragments(kmers.fragments(reads, k, extra), solid, k)
     assert sorted(map(tuple, kmers.own_valid_fragments(reads, k, extra).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+@pytest.mark.parametrize("k", [4, 9])
+def test_branching_deals_all_kmers_out_once(spark, monkeypatch, k):
+    """With the k-mers that plain Python finds to have two checked extensions."""
+    _, solid, _, table = input_of(spark, k, k + 1)
+    alive = {x for x in solid if any(x[1:] + b in solid for b in "ACGT")}
+    calls, masks = [], places.masks
+    monkeypatch.setattr(places, "masks", lambda *a, **b: (calls.append(a), masks(*a, **b))[1])
+    got = sorted(r.s for r in junctions.branching(table, k, 1).select(dna.decode("kmer", k).alias("s")).collect())
+    assert got == sorted(x for x in solid if sum(x[1:] + b in alive for b in "ACGT") > 1) != []
+    assert len(calls) == 1
