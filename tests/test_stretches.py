@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import kmers, stretches
+from strandloom.streaming import solid as stream
 
 
 def encode(s):
@@ -44,3 +46,17 @@ def test_a_kmer_is_not_a_row_of_the_shuffle(spark):
     n = sum(len(canons(s, 21)) for s in seqs)
     row = stretches.dealt(frags, 21, 4).agg(F.sum(F.length("c0") + F.length("c1")).alias("bytes"), F.sum(F.length("c1")).alias("stretches"), F.count("*").alias("rows")).first()
     assert row["bytes"] < 4 * n and row["rows"] <= 4 and row["stretches"] < n / 2
+
+
+@pytest.mark.parametrize("k", [4, 21, 31])
+def test_counts_of_batches_are_summed_up_without_a_row_a_kmer(spark, k):
+    rnd = random.Random(k)
+    rows = [(rnd.choice([rnd.randrange(4**k), rnd.randrange(50), 4**k - 1, 0]), rnd.choice([1, 3, 1 << 40])) for _ in range(3000)]
+    want = {}
+    for canon, n in rows:
+        want[canon] = want.get(canon, 0) + n
+    found = stream.total_counts(spark.createDataFrame(rows, "canon long, cnt long").repartition(5), k)
+    assert found.dtypes == [("canon", "bigint"), ("cnt", "bigint")]
+    assert sorted(map(tuple, found.collect())) == sorted(want.items())
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert stream.total_counts(spark.createDataFrame([], "canon long, cnt long"), k).count() == 0
