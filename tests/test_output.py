@@ -24,3 +24,10 @@ def test_bubbles_put_out_with_a_contig_that_leaves_by_both_ways(spark):
     # its back contig ends at the node by side 1, so it is turned; each end of the other contig is met by each way
     paths = [canon(turn(seq[0]) + x[21:]) for x in (seq[1], turn(seq[1]))] * 2
     assert got == sorted([("bubble", p) for p in paths] + [("unitig", canon(seq[2])), ("isolated", canon(seq[3]))])
+
+
+def test_copies_are_numbered_as_one(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "COPIES", 3)
+    rows = [("unitig", "AC")] * 8 + [("bubble", "GT")] * 3 + [("bubble", "AA"), ("unitig", "AA")]
+    got = sinks.fasta_lines(spark.createDataFrame(rows, "origin string, seq string").repartition(5))
+    assert sorted(r.value for r in got.collect()) == sorted(f">Contig{i + 1}\n{s}" for i, (_, s) in enumerate(sorted(rows)))
