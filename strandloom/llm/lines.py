@@ -166,8 +166,7 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, length: int =
     all their shingles decides, and links make components (similar.roots_of). What moves up to there are hashes; only of
     lines that share a bucket do the texts move, once to each line they are compared with.
     """
-    places = written(_with_bands(lines_of(docs), length), "snappy")
-    kinds = written(places.groupBy("lid", "size", "bands").agg(F.count("*").alias("n"), F.min("key").alias("first")), "snappy")
+    kinds = written(_with_bands(lines_of(docs), length).groupBy("lid", "size", "bands").agg(F.count("*").alias("n"), F.min("key").alias("first")), "snappy")
     met = written(shared_buckets(kinds))
     shared = written(met.select("lid").distinct().join(kinds, "lid").select("lid", "size", "n", "first"))
     texts = _texts(docs, shared.select("lid", "size", "first"))
@@ -179,8 +178,9 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, length: int =
     named = written(named.where("n > 1 or root is not null").select("lid", F.coalesce("root", "lid").alias("root"), "first"))
     whole = named.groupBy("root").agg(F.min("first").alias("first"))
     classes = named.select("lid", "root").join(whole, "root").select("lid", "root", "first")
-    found = written(places.select("key", "no", "lid").join(classes, "lid").select("key", "no", "root", "first"))
-    for done in (places, kinds, met, shared, texts, roots, named):
+    # lines are cut once more: keeping a row of each with its bands would take more disk than that takes time
+    found = written(lines_of(docs).select("key", "no", "lid").join(classes, "lid").select("key", "no", "root", "first"))
+    for done in (kinds, met, shared, texts, roots, named):
         drop_written(done)
     return found
 
