@@ -38,40 +38,45 @@ def _csr(ids: list, rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c], pa.list_(t)) for c, t in cols], ["doc_id", "starts", "buckets", "counts"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of the matrix of rows (key and text), one at a time."""
+    bucket, ids, found, size = _Bucket(), [], [], 0
+    for b in (x for batch in batches for x in pieces(batch)):
+        for i, t in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+            if ids and (size + len(t) > BLOCK_BYTES or len(ids) == BLOCK_DOCS):
+                yield _csr(ids, found)
+                ids, found, size = [], [], 0
+            ids.append(i)
+            found.append(np.fromiter(map(bucket.__getitem__, WORD.findall(t.lower())), np.int64))  # bytes: A-Z only
+            size += len(t)
+            if len(bucket) > KEPT_WORDS:
+                bucket.clear()
+    if ids:
+        yield _csr(ids, found)
+
+
+def _texts(rows: DataFrame, key: str) -> DataFrame:
+    return rows.selectExpr(f"cast({key} as long) key", "coalesce(cast(text as string), '') text")
+
+
 def count_matrix(rows: DataFrame, key: str) -> DataFrame:
     """The matrix of rows (by key) and buckets of their words, as CSR blocks: a row of the result is a block."""
+    return _texts(rows, key).mapInArrow(_blocks, MATRIX)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, ids, found, size = _Bucket(), [], [], 0
-        for b in (x for batch in batches for x in pieces(batch)):
-            for i, t in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-                if ids and (size + len(t) > BLOCK_BYTES or len(ids) == BLOCK_DOCS):
-                    yield _csr(ids, found)
-                    ids, found, size = [], [], 0
-                ids.append(i)
-                found.append(np.fromiter(map(bucket.__getitem__, WORD.findall(t.lower())), np.int64))  # bytes: A-Z only
-                size += len(t)
-                if len(bucket) > KEPT_WORDS:
-                    bucket.clear()
-        if ids:
-            yield _csr(ids, found)
-
-    return rows.selectExpr(f"cast({key} as long) key", "coalesce(cast(text as string), '') text").mapInArrow(run, MATRIX)
-
-
-def column_sums(matrix: DataFrame) -> np.ndarray:
-    """Features by bucket. Tasks add up their blocks, and what reaches the driver is a row a bucket."""
+
+def column_sums(rows: DataFrame, key: str) -> np.ndarray:
+    """Features by bucket. Tasks add up the blocks of their rows, and what reaches the driver is a row a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in _blocks(batches):
             buckets, counts = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("buckets", "counts"))
             np.add.at(total, buckets, counts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
 
     sums = np.zeros(BUCKETS, np.int64)
-    for r in matrix.select("buckets", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in _texts(rows, key).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         sums[r.bucket] = r.n
     return sums
 
@@ -87,21 +92,20 @@ def gumbel(doc_id: int | None, seed: int) -> int:
     return math.floor(-1000.0 * math.log(-math.log((h + 0.5) / 4294967296.0)))
 
 
-def weighed(matrix: DataFrame, gain: np.ndarray, seed: int) -> DataFrame:
-    """doc_id, n_features, weight and score of every row of the matrix: its product with the gains, block by block."""
+def weighed(rows: DataFrame, key: str, gain: np.ndarray, seed: int) -> DataFrame:
+    """doc_id, n_features, weight and score of every row: the product of the matrix with the gains, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, starts, buckets, counts = (batch.column(c)[i].values for c in ("doc_id", "starts", "buckets", "counts"))
-                starts, counts = starts.to_numpy(), counts.to_numpy().astype(np.int64)
-                upto = lambda x: np.concatenate([[0], np.cumsum(x)])[starts]  # noqa: E731, B023
-                n, total = np.diff(upto(counts)), np.diff(upto(counts * gain[buckets.to_numpy()]))
-                weight = total // np.maximum(n, 1)
-                score = weight + np.array([gumbel(x, seed) for x in ids.to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(weight), pa.array(score)], ["doc_id", "n_features", "weight", "score"])
+        for block in _blocks(batches):
+            ids, starts, buckets, counts = (block.column(c)[0].values for c in ("doc_id", "starts", "buckets", "counts"))
+            starts, counts = starts.to_numpy(), counts.to_numpy().astype(np.int64)
+            upto = lambda x: np.concatenate([[0], np.cumsum(x)])[starts]  # noqa: E731, B023
+            n, total = np.diff(upto(counts)), np.diff(upto(counts * gain[buckets.to_numpy()]))
+            weight = total // np.maximum(n, 1)
+            score = weight + np.array([gumbel(x, seed) for x in ids.to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(weight), pa.array(score)], ["doc_id", "n_features", "weight", "score"])
 
-    return matrix.mapInArrow(run, "doc_id long, n_features long, weight long, score long")
+    return _texts(rows, key).mapInArrow(run, "doc_id long, n_features long, weight long, score long")
 
 
 def numbered(rows: DataFrame, order: list) -> DataFrame:
@@ -121,12 +125,12 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least_words:
     and no part in the draw. Ids that repeat are rows of their own; a null id is drawn by the empty one. Empty tables: no
     rows, or a target without words. Columns other than the keys and texts aren't read.
 
-    The matrix is written once and read for the sums and the product. Scores are whole numbers of some 10^5 values (gains and noise
+    The matrix is made twice, for the sums and for the product, and a task holds one block of it: written blocks, of which a reader takes
+    thousands together, cost memory with the size of the files. Scores are whole numbers of some 10^5 values (gains and noise
     are logarithms), so counts by score give the lowest score drawn, and only rows from there on are put in order.
     """
-    matrix = written(count_matrix(docs, "doc_id"))
-    gain = gains(column_sums(matrix), column_sums(count_matrix(target, f"try_cast({target_key} as long)")))
-    rows = written(weighed(matrix, gain, seed))
+    gain = gains(column_sums(docs, "doc_id"), column_sums(target, f"try_cast({target_key} as long)"))
+    rows = written(weighed(docs, "doc_id", gain, seed))
     able = F.col("n_features") >= least_words
     by_score = rows.where(able).groupBy("score").count()
     drawn = by_score.agg(F.sum("count")).first()[0]
