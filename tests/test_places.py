@@ -143,3 +143,21 @@ def test_mercy_kmers_against_plain_python(spark, k):
     got = sorted(r.s for r in found.select(dna.decode("canon", k).alias("s")).collect())
     assert got == sorted(want) and (k == 4 or want)
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_pass_hands_its_solid_kmers_on(spark, monkeypatch):
+    """Branching k-mers come from the set that the pass over the reads has counted: reads are neither cut nor dealt out a second time."""
+    rng = random.Random(5)
+    genome = "".join(rng.choice("ACGT") for _ in range(400))
+    texts = [genome[i : i + 60] for i in range(0, 340, 7)] + [genome[100:130] + "ACCA" + genome[134:160]] * 2 + ["NNACGT", "", "ACGTN" + genome[5:40]]
+    reads = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
+    want = sorted(r.canon for r in kmers.solid(kmers.kmer_counts(kmers.fragments(reads, 11), 11)).collect())
+    dealt, cut = [], stretches.dealt
+    monkeypatch.setattr(stretches, "dealt", lambda *a: dealt.append(a) or cut(*a))
+    valid, keys = kmers.valid_and_solid(reads, 11, 3)
+    assert sorted(r.canon for r in places.unpacked_set(keys).collect()) == want != []
+    assert sorted(map(tuple, valid.collect())) == sorted(map(tuple, kmers.own_valid_fragments(reads, 11, 3).collect()))
+    for j in (1, 2):
+        packed, rows = (junctions.branching(x, 11, j).collect() for x in (keys, places.unpacked_set(keys)))
+        assert sorted(r.kmer for r in packed) == sorted(r.kmer for r in rows) and (j > 1 or rows)
+    assert not dealt
